@@ -1,0 +1,420 @@
+"""A query per operator on the driver tables, and the same in SQL."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as fx
+from ..functions import vectors as vx
+from ..operators import ledgers, normalize, profiles, search
+from ..operators.filters import Filters
+from . import adapters as a
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(views: str, body: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if body is not None:
+            SQL[f.__name__] = a.sql(views, body) if views else body
+        return f
+
+    return add
+
+
+# --- exact listing
+
+SINCE, UNTIL = "2024-01-01T00:00:00Z", "2024-06-30T23:59:59Z"
+
+
+@query("mention", "SELECT session_id, min(timestamp) AS first_ts FROM mention WHERE entity = 'click' GROUP BY session_id")
+def exact_listing(spark, d):
+    return search.exact_listing(a.mention(spark, d), "click")
+
+
+@query("mention", f"SELECT session_id, min(timestamp) AS first_ts FROM mention WHERE entity = 'purchase' AND entity_type = 'command' AND project = 'p2' AND timestamp >= '{SINCE}' AND timestamp <= '{UNTIL}' GROUP BY session_id")
+def exact_listing_filtered(spark, d):
+    return search.exact_listing(a.mention(spark, d), "purchase", Filters("command", "p2", SINCE, UNTIL))
+
+
+@query("mention", "SELECT entity, count(DISTINCT session_id) AS sessions, count(*) AS mentions FROM mention GROUP BY entity")
+def exact_count(spark, d):
+    return a.mention(spark, d).groupBy("entity").agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("mentions"))
+
+
+@query("mention", "SELECT session_id, first_ts, row_number() OVER (ORDER BY first_ts NULLS FIRST, session_id) AS place FROM (SELECT session_id, min(nullif(timestamp, '')) AS first_ts FROM mention WHERE entity = 'view' GROUP BY session_id) ORDER BY place LIMIT 10")
+def exact_first_ten(spark, d):
+    return search.exact_listing(a.mention(spark, d), "view").limit(10).withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_first("first_ts"), "session_id")))
+
+
+# --- keyword search
+
+_TERMS = "regexp_extract_all(lower(strip_accents(content)), '[\\p{L}\\p{N}]+')"
+
+
+def _bm25(phrases: list[list[str]], frm: str = "fts") -> str:
+    """Hits with their BM25 rank: docs AS (doc, session_id, source_id, rank)."""
+    freq = []
+    for k, p in enumerate(phrases):
+        test = " AND ".join(f"toks[i + {s}] = '{w}'" for s, w in enumerate(p))
+        freq.append(f"len(list_filter(range(1, len(toks) + 1), lambda i: {test})) AS f{k}")
+    n = len(phrases)
+    counts = ", ".join(f"sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS n{k}" for k in range(n))
+    score = " + ".join(f"(CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in range(n))
+    where = " AND ".join(f"f{k} > 0" for k in range(n))
+    return f"""WITH cut AS (SELECT doc, session_id, source_id, {_TERMS} AS toks FROM {frm}),
+freq AS (SELECT doc, session_id, source_id, CAST(len(toks) AS DOUBLE) AS length, {", ".join(freq)} FROM cut),
+stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean, {counts} FROM freq),
+hits AS (SELECT doc, session_id, source_id, -({score}) AS rank FROM freq, stat WHERE {where})
+"""
+
+
+def _index(spark, d):
+    return search.build_index(a.fts(spark, d), "doc", "content")
+
+
+def _hits(spark, d, text, filters=Filters()):
+    return search.keyword_search(_index(spark, d), a.fts(spark, d), text, filters, a.session(spark, d), a.event(spark, d), a.artifact(spark, d))
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("fts", _bm25([["licensed"], ["version"]]) + "SELECT doc, round(rank, 6) AS rank FROM hits")
+def keyword_bm25(spark, d):
+    return _round(_hits(spark, d, 'Licensed "version').select("doc", "rank"), "rank")
+
+
+@query("fts", _bm25([["general", "public", "license"]]) + "SELECT doc, round(rank, 6) AS rank FROM hits")
+def keyword_phrase(spark, d):
+    return _round(_hits(spark, d, "general-public_LICENSE").select("doc", "rank"), "rank")
+
+
+@query("fts", _bm25([["que"], ["para"]]) + "SELECT doc, round(rank, 6) AS rank FROM hits")
+def keyword_accents(spark, d):
+    return _round(_hits(spark, d, "qué * pará").select("doc", "rank"), "rank")
+
+
+@query("event session fts", _bm25([["licensed"]]) + "SELECT doc, session_id, round(rank, 6) AS rank FROM hits WHERE session_id IN (SELECT session_id FROM session WHERE project = 'p1')")
+def keyword_project(spark, d):
+    return _round(_hits(spark, d, "licensed", Filters(project="p1")).select("doc", "session_id", "rank"), "rank")
+
+
+@query("event fts", _bm25([["licensed"]]) + "SELECT doc, round(rank, 6) AS rank FROM hits JOIN (SELECT uuid, min(timestamp) AS ts FROM event GROUP BY uuid) ON uuid = source_id WHERE ts >= '2024-01-05' AND ts <= '2024-01-15'")
+def keyword_time(spark, d):
+    return _round(_hits(spark, d, "licensed", Filters(since="2024-01-05", until="2024-01-15")).select("doc", "rank"), "rank")
+
+
+@query("fts", f"SELECT term, CAST(count(DISTINCT doc) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS places FROM (SELECT doc, unnest({_TERMS}) AS term FROM fts) GROUP BY term")
+def index_terms(spark, d):
+    return search.postings(a.fts(spark, d), "doc", "content").groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("places")).cast("long").alias("places"))
+
+
+# --- vector search
+
+_Q = "q AS (SELECT embedding AS qe FROM vector WHERE vec_id = 3)"
+_DIST = "list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[]))"
+_BITS = "len(list_filter(range(1, len(embedding) + 1), lambda i: (embedding[i] > 0) <> (qe[i] > 0)))"
+
+
+def _q(spark, d):
+    return list(a.vector(spark, d).filter("vec_id = 3").first().embedding)
+
+
+def _near(df):
+    return _round(df.select("vec_id", "distance"), "distance")
+
+
+@query("vector", f"WITH {_Q} SELECT vec_id, round(dist, 6) AS distance FROM (SELECT vec_id, {_DIST} AS dist FROM vector, q) ORDER BY dist, vec_id LIMIT 10")
+def vector_exact_topk(spark, d):
+    return _near(search.exact_topk(a.vector(spark, d), _q(spark, d), 10, "vec_id"))
+
+
+@query("vector", f"WITH {_Q}, near AS (SELECT vec_id, embedding, qe FROM vector, q ORDER BY {_BITS}, vec_id LIMIT 80) SELECT vec_id, round(dist, 6) AS distance FROM (SELECT vec_id, {_DIST} AS dist FROM near) ORDER BY dist, vec_id LIMIT 10")
+def vector_two_stage(spark, d):
+    return _near(search.two_stage_topk(a.vector(spark, d), _q(spark, d), 10, "vec_id"))
+
+
+@query("vector", f"WITH {_Q}, near AS (SELECT vec_id, embedding, qe FROM vector, q WHERE project = 'p1' ORDER BY {_BITS}, vec_id LIMIT 64) SELECT vec_id, round(dist, 6) AS distance FROM (SELECT vec_id, {_DIST} AS dist FROM near) ORDER BY dist, vec_id LIMIT 5")
+def vector_project(spark, d):
+    return _near(search.two_stage_topk(a.vector(spark, d).filter("project = 'p1'"), _q(spark, d), 5, "vec_id"))
+
+
+@query("event vector", f"WITH {_Q}, allowed AS (SELECT DISTINCT uuid FROM event WHERE timestamp >= '2024-01-05' AND timestamp <= '2024-01-15') SELECT vec_id, round(dist, 6) AS distance FROM (SELECT vec_id, {_DIST} AS dist FROM vector, q WHERE split_part(source_id, ':', 1) IN (SELECT uuid FROM allowed)) ORDER BY dist, vec_id LIMIT 10")
+def vector_time_rerank(spark, d):
+    allowed = Filters(since="2024-01-05", until="2024-01-15").in_time(a.event(spark, d)).select("uuid").distinct()
+    v = a.vector(spark, d).withColumn("uuid", F.substring_index("source_id", ":", 1)).join(allowed, "uuid", "left_semi")
+    return _near(search.exact_topk(v, _q(spark, d), 10, "vec_id"))
+
+
+@query("vector", f"WITH {_Q} SELECT vec_id, {_BITS} AS bits FROM vector, q")
+def vector_hamming(spark, d):
+    code = F.array(*(F.lit(x).cast("long") for x in vx.pack_bits(_q(spark, d))))
+    return a.vector(spark, d).select("vec_id", vx.hamming(vx.quantize(F.col("embedding")), code).cast("long").alias("bits"))
+
+
+@query("vector", "WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM vector WHERE vec_id % 20 = 0), ranked AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS nth FROM (SELECT query_id, vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS d FROM vector, q)) SELECT query_id, vec_id, round(d, 6) AS distance FROM ranked WHERE nth <= 5")
+def vector_batch(spark, d):
+    v = a.vector(spark, d)
+    got = search.batch_vector_search(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, "vec_id")
+    return _round(got.select("query_id", "vec_id", F.abs("distance").alias("distance")), "distance").withColumn("distance", F.when(F.col("distance") == 0, 0.0).otherwise(F.col("distance")))
+
+
+# --- ranked search
+
+_ARM = """, best AS (SELECT session_id, rank, doc, row_number() OVER (PARTITION BY session_id ORDER BY rank, doc) AS n FROM hits),
+keyword AS (SELECT session_id, row_number() OVER (ORDER BY rank, doc, session_id) AS place FROM best WHERE n = 1)"""
+_VARM = f""", {_Q}, near AS (SELECT vec_id, source_id, embedding, qe FROM vector, q ORDER BY {_BITS}, source_id LIMIT 400),
+top AS (SELECT source_id, {_DIST} AS dist FROM near ORDER BY dist, source_id LIMIT 50),
+own AS (SELECT uuid, min(session_id) AS session_id FROM event GROUP BY uuid),
+vbest AS (SELECT own.session_id, dist, source_id, row_number() OVER (PARTITION BY own.session_id ORDER BY dist, source_id) AS n FROM top JOIN own ON uuid = split_part(source_id, ':', 1)),
+varm AS (SELECT session_id, row_number() OVER (ORDER BY dist, source_id, session_id) AS place FROM vbest WHERE n = 1)"""
+
+
+def _ranked(spark, d, embed):
+    t = {"fts": a.fts(spark, d), "session": a.session(spark, d), "event": a.event(spark, d), "artifact": a.artifact(spark, d), "mention": a.mention(spark, d), "vector": a.vector(spark, d)}
+    return search.ranked_search(_index(spark, d), t, "licensed under", embed)
+
+
+@query("event vector fts", _bm25([["licensed"], ["under"]]).rstrip() + _ARM + _VARM + " SELECT session_id, round(sum(1 / (60.0 + place)), 8) AS score FROM (SELECT * FROM keyword UNION ALL SELECT * FROM varm) GROUP BY session_id")
+def rrf_fusion(spark, d):
+    q = _q(spark, d)
+    return _ranked(spark, d, lambda _: q).sessions.select("session_id", F.round("score", 8).alias("score"))
+
+
+@query("fts", _bm25([["licensed"], ["under"]]).rstrip() + _ARM + " SELECT session_id, round(1 / (60.0 + place), 8) AS score FROM keyword")
+def rrf_keyword_only(spark, d):
+    def broken(_):
+        raise ConnectionError("no embedder")
+
+    return _ranked(spark, d, broken).sessions.select("session_id", F.round("score", 8).alias("score"))
+
+
+# --- profiles
+
+
+@query("daily", "WITH c AS (SELECT entity_type, entity, project, count(*) AS n FROM daily GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity ORDER BY n DESC, project) AS k FROM c) SELECT entity_type, entity, project AS modal_project FROM r WHERE k = 1")
+def entity_modal_project(spark, d):
+    return profiles.modal_project(a.mention(spark, d, True))
+
+
+@query("daily", "SELECT x.entity_type, x.entity, list_sort(list(DISTINCT y.entity)) AS cooccurring FROM daily x JOIN daily y ON x.event_uuid = y.event_uuid AND x.entity <> y.entity GROUP BY ALL")
+def entity_cooccurrence(spark, d):
+    return profiles.cooccurring(a.mention(spark, d, True))
+
+
+@query("daily", "SELECT x.entity_type, x.entity, coalesce(list_sort(list(DISTINCT y.entity) FILTER (WHERE y.entity <> x.entity)), []) AS aliases FROM (SELECT DISTINCT entity_type, CASE WHEN id % 3 = 0 THEN upper(entity) ELSE entity END AS entity FROM daily) x JOIN (SELECT DISTINCT entity_type, CASE WHEN id % 3 = 0 THEN upper(entity) ELSE entity END AS entity FROM daily) y ON x.entity_type = y.entity_type AND lower(x.entity) = lower(y.entity) GROUP BY ALL")
+def entity_aliases(spark, d):
+    return profiles.aliases(a.mention(spark, d, True).withColumn("entity", F.when(F.col("id") % 3 == 0, F.upper("entity")).otherwise(F.col("entity"))))
+
+
+@query("daily", "SELECT entity_type, entity, count(*) AS mentions, count(DISTINCT session_id) AS sessions, count(DISTINCT project) AS projects, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM daily GROUP BY ALL")
+def entity_profile_stats(spark, d):
+    return a.mention(spark, d, True).groupBy("entity_type", "entity").agg(F.count("*").alias("mentions"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("project").alias("projects"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
+def _talk(spark, d):
+    """Mentions of events of conversations, by role."""
+    e = a.event(spark, d)
+    return e, e.select(F.col("role").alias("entity"), F.lit("file").alias("entity_type"), F.col("uuid").alias("event_uuid"), "session_id", F.lit("p").alias("project"), "timestamp")
+
+
+@query("event", "WITH said AS (SELECT m.role AS entity, e.text, e.timestamp, e.id FROM (SELECT DISTINCT role, uuid FROM event) m JOIN event e ON e.uuid = m.uuid WHERE e.grain = 'indexed' AND e.text IS NOT NULL), t AS (SELECT entity, text, row_number() OVER (PARTITION BY entity ORDER BY text) AS n FROM (SELECT DISTINCT entity, text FROM said)) SELECT entity, (SELECT arg_min(text, timestamp || lpad(CAST(id AS VARCHAR), 12, '0')) FROM said s WHERE s.entity = t.entity) AS intro, list(text ORDER BY text) AS usage FROM t WHERE n <= 8 GROUP BY entity")
+def entity_usage_top8(spark, d):
+    e, m = _talk(spark, d)
+    return profiles.usage(m, e).select("entity", "intro", "usage")
+
+
+@query("event session artifact", "WITH of AS (SELECT e.uuid, arg_min(s.project, e.id) AS project FROM event e JOIN session s ON e.session_id = s.session_id GROUP BY e.uuid), asked AS (SELECT uuid, arg_min(text, id) AS request FROM event WHERE text IS NOT NULL GROUP BY uuid) SELECT artifact_id AS source_id, project, coalesce('request: ' || request || chr(10), '') || 'path: ' || path || chr(10) || 'language: ' || language || chr(10) || 'signature:' || chr(10) || array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(content, '\\r?\\n$', ''), '\\r?\\n'), lambda x: regexp_matches(x, '^\\s*(pub\\s+)?(async\\s+)?(fn|def|class|function|struct)\\b') OR regexp_matches(x, '(^|\\s)--[A-Za-z0-9][\\w-]*')), lambda x: rtrim(x)), chr(10)) || chr(10) AS text FROM artifact JOIN of ON of.uuid = source_event_uuid LEFT JOIN asked ON asked.uuid = request_bundle")
+def artifact_units(spark, d):
+    return profiles.artifact_units(a.artifact(spark, d), a.event(spark, d), a.session(spark, d)).select("source_id", "project", "text")
+
+
+@query("event session", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY id) AS n FROM event WHERE grain = 'indexed' AND text IS NOT NULL) SELECT uuid || ':' || CAST(n AS VARCHAR) AS source_id, project, text FROM o JOIN session USING (session_id)")
+def prose_chunks(spark, d):
+    return profiles.event_units(a.event(spark, d), a.session(spark, d)).select("source_id", "project", "text")
+
+
+@query("event", "SELECT id, uuid || ':' || CAST(row_number() OVER (PARTITION BY uuid ORDER BY id) AS VARCHAR) AS source_id FROM event WHERE grain = 'indexed' AND text IS NOT NULL")
+def event_ordinal(spark, d):
+    return profiles.event_ordinals(a.event(spark, d)).select("id", "source_id")
+
+
+@query("daily event session", "SELECT entity_type || ':' || entity AS source_id, entity_type || ': ' || entity || chr(10) || 'projects: ' || array_to_string(list_sort(list(DISTINCT project)), ', ') || chr(10) AS text FROM daily WHERE event_uuid IS NOT NULL GROUP BY entity_type, entity")
+def entity_units(spark, d):
+    m = a.mention(spark, d).withColumn("event_uuid", F.concat(F.lit("none"), "event_uuid"))
+    return profiles.entity_units(m, a.event(spark, d)).select("source_id", "text")
+
+
+# --- normalization
+
+
+@query("event", "SELECT id, last_value(CASE WHEN role = 'user' THEN id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS request_bundle FROM event")
+def request_bundle(spark, d):
+    w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    return a.event(spark, d).select("id", F.last(F.when(F.col("role") == "user", F.col("id")), ignorenulls=True).over(w).alias("request_bundle"))
+
+
+@query("event", "SELECT uuid, id, row_number() OVER (PARTITION BY uuid ORDER BY id) - 1 AS n FROM event")
+def artifact_ordinals(spark, d):
+    return a.event(spark, d).select("uuid", "id", (F.row_number().over(Window.partitionBy("uuid").orderBy("id")) - 1).cast("long").alias("n"))
+
+
+@query("event", "SELECT id, CASE WHEN kind IN ('text', 'tool_use') OR (kind = 'tool_result' AND tool IN ('WebFetch', 'WebSearch')) THEN 'indexed' ELSE 'skeleton' END AS grain FROM (SELECT id, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_use' ELSE 'tool_result' END AS kind, CASE WHEN id % 5 = 0 THEN 'WebFetch' WHEN id % 5 = 1 THEN 'Read' END AS tool FROM event)")
+def grain_assign(spark, d):
+    t, i = F.col("turn") % 4, F.col("id") % 5
+    kind = F.when(t == 0, "text").when(t == 1, "thinking").when(t == 2, "tool_use").otherwise("tool_result")
+    return a.event(spark, d).select("id", normalize.grain(kind, F.when(i == 0, "WebFetch").when(i == 1, "Read")).alias("grain"))
+
+
+_SECRET = "concat('x ', substr(text, 1, 40), ' api_key = \"abc', CAST(doc_id AS VARCHAR), '\" AKIA', 'ABCDEFGHIJKLMNOP', ' postgres://u:pw@host/db Authorization: Bearer abc.def eyJabc.def.ghi secret: it was')"
+_SCRUBS = [(p.replace("'", "''"), keep.replace("$1", "\\1") + fx.REDACTED) for p, keep in fx.SECRETS]
+_SCRUB = _SECRET
+for _p, _r in _SCRUBS:
+    _SCRUB = f"regexp_replace({_SCRUB}, '{_p}', '{_r}', 'g')"
+
+
+@query("", f"SELECT doc_id, {_SCRUB} AS text FROM documents")
+def scrub_text(spark, d):
+    made = F.concat(F.lit("x "), F.substring("text", 1, 40), F.lit(' api_key = "abc'), F.col("doc_id").cast("string"), F.lit('" AKIA'), F.lit("ABCDEFGHIJKLMNOP"), F.lit(" postgres://u:pw@host/db Authorization: Bearer abc.def eyJabc.def.ghi secret: it was"))
+    return a.table(spark, d, "documents").select("doc_id", fx.scrub(made).alias("text"))
+
+
+@query("artifact", "SELECT artifact_id, list_transform(list_filter(string_split_regex(regexp_replace(content, '\\r?\\n$', ''), '\\r?\\n'), lambda x: regexp_matches(x, '^\\s*(pub\\s+)?(async\\s+)?(fn|def|class|function|struct)\\b') OR regexp_matches(x, '(^|\\s)--[A-Za-z0-9][\\w-]*')), lambda x: rtrim(x)) AS signature FROM artifact")
+def signature_lines(spark, d):
+    return a.artifact(spark, d).select("artifact_id", fx.signature_lines(F.col("content")).alias("signature"))
+
+
+@query("", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS argv0 FROM events")
+def argv0(spark, d):
+    i = F.col("event_id")
+    command = F.concat(F.when(i % 2 == 0, "  A_1=x B=2  ").otherwise(""), F.when(i % 7 == 0, "C=3").otherwise(F.concat("event_type", F.lit(" --flag Z=1"))))
+    return a.table(spark, d, "events").select("event_id", fx.argv0(command).alias("argv0"))
+
+
+@query("", "SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS key FROM events, (SELECT unnest(json_keys((SELECT props FROM events WHERE props IS NOT NULL ORDER BY event_id LIMIT 1))) AS k)")
+def json_props_extract(spark, d):
+    e = a.table(spark, d, "events").filter("props is not null")
+    keys = sorted(json.loads(e.orderBy("event_id").first().props))
+    v = e.withColumn("v", F.try_parse_json("props"))
+    return v.select("event_id", F.explode(F.array(*(F.struct(F.try_variant_get("v", f"$.{k}", "string").alias("value"), F.lit(k).alias("key")) for k in keys))).alias("x")).select("event_id", "x.value", "x.key")
+
+
+def _transcript(spark, d):
+    """conversations as raw transcript lines: user turns have a string content, others blocks; every fifth line is repeated."""
+    c = a.table(spark, d, "conversations")
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("/f"), F.col("turn").cast("string"), F.lit(".py")).alias("file_path")).alias("input"))
+    bare = F.to_json(F.struct(F.col("text").alias("c")))  # {"c":...}
+    line = F.concat(F.lit('{"type":"'), F.when(F.col("role") == "user", "user").otherwise("assistant"), F.lit('","uuid":"u'), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('","sessionId":"c'), F.col("conv_id").cast("string"), F.lit('","timestamp":"2024-01-01T00:00:'), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit('Z","message":{"content":'), F.when(F.col("role") == "user", F.substring(bare, 6, 10_000_000)).otherwise(F.concat(F.lit("["), F.to_json(text), F.lit(","), F.to_json(call), F.lit("]}"))), F.lit("}"))
+    once = c.select(F.lit("p").alias("project"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_dir"), F.lit("0").alias("gen_ord"), F.lit("0000").alias("gen_ref"), F.col("turn").cast("int").alias("line_no"), line.alias("line"))
+    again = once.filter("line_no % 5 = 0").withColumns({"gen_ord": F.lit("1"), "gen_ref": F.lit("0001")})
+    return once.union(again)
+
+
+@query("", "SELECT 'u' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS uuid, k.kind, 'c' || CAST(conv_id AS VARCHAR) AS session_id, CASE k.kind WHEN 'text' THEN text ELSE '/f' || CAST(turn AS VARCHAR) || '.py' END AS text FROM conversations, (SELECT unnest(['text', 'tool_use']) AS kind) k WHERE k.kind = 'text' OR role <> 'user'")
+def normalize_blocks(spark, d):
+    got = normalize.normalize(_transcript(spark, d))["event"]
+    return got.select("uuid", "kind", "session_id", "text")
+
+
+@query("", "SELECT '/f' || CAST(turn AS VARCHAR) || '.py' AS entity, 'file' AS entity_type, 'u' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS event_uuid, 'c' || CAST(conv_id AS VARCHAR) AS session_id FROM conversations WHERE role <> 'user'")
+def normalize_mentions(spark, d):
+    return normalize.normalize(_transcript(spark, d))["mention"].select("entity", "entity_type", "event_uuid", "session_id")
+
+
+@query("", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, 'p' AS project, '2024-01-01T00:00:' || lpad(CAST(min(turn) AS VARCHAR), 2, '0') || 'Z' AS started_at, '2024-01-01T00:00:' || lpad(CAST(max(turn) AS VARCHAR), 2, '0') || 'Z' AS ended_at, CASE WHEN max(CASE WHEN turn % 5 = 0 THEN 1 ELSE 0 END) = 1 THEN ['0000', '0001'] ELSE ['0000'] END AS archive_refs FROM conversations GROUP BY conv_id")
+def session_rollup(spark, d):
+    return normalize.normalize(_transcript(spark, d))["session"].select("session_id", "project", "started_at", "ended_at", "archive_refs")
+
+
+@query("", "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+def dedup_keep_first(spark, d):
+    lines = _transcript(spark, d).withColumn("line", F.regexp_replace("line", '"uuid":"u(\\d+)-\\d+"', '"uuid":"u$1"'))
+    valid, _ = normalize.split_valid(lines)
+    kept = normalize.message_lines(valid)
+    c = a.table(spark, d, "conversations")
+    return kept.select(F.substring("session_dir", 2, 18).cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("turn")).join(c.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+
+
+@query("", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_dir, 't' || CAST(turn AS VARCHAR) AS call_id, 'Read' AS answers FROM conversations WHERE role <> 'user'")
+def tool_name_lookup(spark, d):
+    valid, _ = normalize.split_valid(_transcript(spark, d))
+    return normalize.tool_calls(normalize.blocks(normalize.message_lines(valid))).select("session_dir", "call_id", "answers")
+
+
+@query("event", "SELECT session_id, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) END AS kind FROM (SELECT session_id, CASE WHEN length(session_id) = 2 THEN 'one' ELSE role END AS kind FROM event) GROUP BY session_id")
+def single_subagent_type(spark, d):
+    e = a.event(spark, d).withColumn("kind", F.when(F.length("session_id") == 2, "one").otherwise(F.col("role")))
+    return e.groupBy("session_id").agg(F.collect_set("kind").alias("k")).select("session_id", F.when(F.size("k") == 1, F.col("k")[0]).alias("kind"))
+
+
+# --- ledgers
+
+
+@query("vector ledger", "SELECT source_id FROM vector v WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.source_id = v.source_id AND l.unit_kind = v.unit_kind AND embedder_version = 'v2' AND (status = 'done' OR attempts >= 5))")
+def ledger_pending(spark, d):
+    return ledgers.pending(a.vector(spark, d), a.ledger(spark, d), "v2").select("source_id")
+
+
+@query("vector ledger", "WITH news AS (SELECT unit_kind, source_id, CASE WHEN vec_id % 9 = 0 THEN 'failed' ELSE 'done' END AS status FROM vector WHERE vec_id % 3 = 0) SELECT coalesce(n.source_id, l.source_id) AS source_id, coalesce(n.status, l.status) AS status, CASE WHEN n.source_id IS NULL THEN l.embedder_version ELSE 'v3' END AS embedder_version, coalesce(l.attempts, 0) + CASE WHEN n.source_id IS NULL THEN 0 ELSE 1 END AS attempts, CASE WHEN n.source_id IS NULL THEN l.last_error END AS last_error FROM ledger l FULL JOIN news n ON l.source_id = n.source_id AND l.unit_kind = n.unit_kind")
+def ledger_upsert(spark, d):
+    news = a.vector(spark, d).filter("vec_id % 3 = 0").select("unit_kind", "source_id", F.lit("v3").alias("embedder_version"), F.lit("t").alias("embedded_at"), F.when(F.col("vec_id") % 9 == 0, "failed").otherwise("done").alias("status"), F.lit(None).cast("string").alias("last_error"))
+    return ledgers.upsert(a.ledger(spark, d), news).select("source_id", "status", "embedder_version", "attempts", "last_error")
+
+
+@query("vector ledger", "SELECT source_id FROM vector WHERE source_id NOT IN (SELECT source_id FROM ledger WHERE embedder_version <> 'v2')")
+def stale_vectors(spark, d):
+    return ledgers.current_vectors(a.vector(spark, d), a.ledger(spark, d), "v2").select("source_id")
+
+
+_FILES = "files AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS VARCHAR) AS path, CAST(length(event_type) AS BIGINT) AS size, event_id % 1000 AS mtime FROM events)"
+_PRINT = "prints AS (SELECT session_id, sha256(string_agg(path || '|' || CAST(size AS VARCHAR) || '|' || CAST(mtime AS VARCHAR), chr(10) ORDER BY path || '|' || CAST(size AS VARCHAR) || '|' || CAST(mtime AS VARCHAR)) || chr(10)) AS fingerprint FROM files GROUP BY session_id)"
+
+
+def _files(spark, d):
+    return a.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("string").alias("path"), F.length("event_type").cast("long").alias("size"), (F.col("event_id") % 1000).alias("mtime"))
+
+
+@query("", f"WITH {_FILES}, {_PRINT} SELECT * FROM prints")
+def fingerprint(spark, d):
+    return ledgers.fingerprints(_files(spark, d))
+
+
+@query("", f"WITH {_FILES}, {_PRINT} SELECT session_id, fingerprint FROM prints WHERE CAST(session_id AS BIGINT) % 3 <> 0")
+def changed_sessions(spark, d):
+    now = ledgers.fingerprints(_files(spark, d))
+    i = F.col("session_id").cast("long") % 3
+    old = now.filter(i != 1).withColumn("fingerprint", F.when(i == 0, F.col("fingerprint")).otherwise("old"))
+    return ledgers.changed_sessions(now, old)
+
+
+@query("", f"WITH {_FILES} SELECT path FROM files WHERE CAST(path AS BIGINT) % 4 IN (1, 2)")
+def changed_files(spark, d):
+    f = _files(spark, d)
+    i = F.col("path").cast("long") % 4
+    return ledgers.changed_files(f, f.filter(i != 1).select("path", F.when(i == 2, -1).otherwise(F.col("mtime")).alias("mtime"), "size")).select("path")
+
+
+@query("vector ledger", "SELECT count(*) FILTER (WHERE embedder_version = 'v2' AND status = 'done') AS done, count(*) FILTER (WHERE embedder_version = 'v2' AND status = 'failed') AS failed, count(*) AS total, min(CASE WHEN embedder_version = 'v2' AND status = 'failed' THEN last_error END) AS error FROM ledger")
+def embed_status(spark, d):
+    return ledgers.ledger_counts(a.ledger(spark, d), "v2")
+
+
+@query("event artifact daily", "SELECT 'event' AS unit_kind, uuid || ':' || CAST(n AS VARCHAR) AS source_id FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY id) AS n FROM event WHERE grain = 'indexed' AND text IS NOT NULL) WHERE timestamp >= '2024-01-05' AND timestamp <= '2024-01-15' UNION SELECT 'artifact', artifact_id FROM artifact WHERE source_event_uuid IN (SELECT uuid FROM event WHERE timestamp >= '2024-01-05' AND timestamp <= '2024-01-15') UNION SELECT 'entity', entity_type || ':' || entity FROM daily WHERE timestamp >= '2024-01-05' AND timestamp <= '2024-01-15'")
+def window_ids(spark, d):
+    return search.window_ids(Filters(since="2024-01-05", until="2024-01-15"), a.event(spark, d), a.artifact(spark, d), a.mention(spark, d, True))
+
+
+@query("event artifact", "SELECT a.artifact_id AS source_id, e.session_id FROM artifact a JOIN (SELECT DISTINCT uuid, session_id FROM event) e ON a.source_event_uuid = e.uuid")
+def artifact_index_rows(spark, d):
+    from ..operators.store import fts
+
+    return fts(a.event(spark, d), a.artifact(spark, d)).filter("source_type = 'artifact'").select("source_id", "session_id").distinct()
