@@ -69,7 +69,8 @@ def keyword_hits(index: Index, query: str) -> DataFrame:
     for k, p in enumerate(phrases):
         places = F.col(f"t{words.index(p[0])}")
         for shift, w in enumerate(p[1:], 1):
-            places = F.array_intersect(places, F.transform(F.col(f"t{words.index(w)}"), lambda x, shift=shift: x - shift))
+            back = F.expr(f"transform(t{words.index(w)}, x -> x - {shift})")  # where the phrase would begin
+            places = F.array_intersect(places, back)
         counts.append(F.coalesce(F.size(places), F.lit(0)).alias(f"f{k}"))
     per = per.select("doc", "length", *counts)
     if not phrases:
