@@ -13,6 +13,7 @@ before, turns those numbers into numbers of the whole class; no piece is sorted
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ class Encoder:
         self.alphabet = {b: b if b in set(visible) else next(rest) for b in range(256)}
         self.words: dict[str, list[int]] = {}
         self.number: dict[str, int] = {}  # of a chunk
-        self.ids, self.ends = [], [0]
+        self.ids, self.ends = array("i"), array("i", [0])
 
     def word(self, w: str) -> list[int]:
         got = self.words.get(w)
@@ -69,7 +70,7 @@ class Encoder:
             own = [i for w in PRETOKEN.findall(low) for i in self.word(w)]
         else:
             own = self.whole.encode(c, add_special_tokens=False).ids
-        self.ids += own
+        self.ids.extend(own)
         self.ends.append(len(self.ids))
         self.number[c] = n = len(self.ends) - 2
         return n
@@ -77,7 +78,7 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.number) > CACHE:
-            self.number, self.ids, self.ends = {}, [], [0]
+            self.number, self.ids, self.ends = {}, array("i"), array("i", [0])
         get, out, numbers = self.number.get, [], []
         for x in texts:
             if _ODD(x):
@@ -85,10 +86,10 @@ class Encoder:
                 continue
             own = x.split()
             numbers.append([n if (n := get(c)) is not None else self.chunk(c) for c in own])
-        flat, ends = np.array(self.ids, np.int64), np.array(self.ends, np.int64)
+        flat, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int32)  # copies, as the arrays grow
         for x, own in zip(texts, numbers, strict=True):
             if own is None:
-                out.append(np.array(self.whole.encode(x, add_special_tokens=False).ids, np.int64))
+                out.append(np.array(self.whole.encode(x, add_special_tokens=False).ids, np.int32))
                 continue
             k = np.array(own, np.int64)
             size = ends[k + 1] - ends[k]
@@ -105,6 +106,16 @@ def _plain(c: str) -> bool:
     return "<|" not in c and all(ch < "\u0180" and ch != "\u0130" for ch in c)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder, whose memory of words lasts from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def class_length(left: int) -> int:
     """Length of the next piece of a document with so many ids left."""
     return left if left <= SMALL else CAPACITY // -(-CAPACITY // left) if left <= CAPACITY else CAPACITY
@@ -123,13 +134,13 @@ PIECES = "part long, doc long, start long, length int, ids_crc32 long, doc_token
 
 def _pieces(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, count = TaskContext.get().partitionId(), Encoder(path), {}
+        part, known, count = TaskContext.get().partitionId(), encoder(path), {}
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 texts = [x or "" for x in b.column(1).slice(at, 500).to_pylist()]
                 doc = b.column(0).slice(at, 500).to_pylist()
                 rows = []
-                for d, own in zip(doc, encoder.batch(texts), strict=True):
+                for d, own in zip(doc, known.batch(texts), strict=True):
                     ids = np.append(own, END).astype("<u4")
                     start = 0
                     for n in cut(len(ids)):
