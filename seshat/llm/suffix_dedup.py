@@ -14,7 +14,7 @@ at equal places, and the consecutive windows that share an anchor (some dozens)
 A digit is compared as a 64-bit hash, together with a second one of all bytes a run covers (windows: two hashes of
 64 of their bytes), so unequal strings meet with a chance of the order of 2^-64 a pair.
 
-A hot group is thinned before it is shuffled: within one Arrow batch, of equal runs only the earliest is compared
+A hot group is thinned before it is shuffled: within PART bytes of texts, of equal runs only the earliest is compared
 with other batches, and a group of many different runs sends two of them and passes the others on undecided. Those
 rows get a key of their own, so they spread. Groups are ranked by Spark's external sort, never held in Python.
 """
@@ -33,7 +33,8 @@ from .common import NO_ID, id_of, keyed, map_batches, repeated_ids, slices, stag
 
 K = 32  # bytes of an anchor
 BIN = 8  # windows of a run that digit 2 takes together
-BLOCK = 2 << 20  # bytes hashed at once
+BLOCK = 1 << 20  # bytes hashed at once
+PART = 8 << 20  # bytes of texts whose runs are thinned together
 SEGMENT = 8 << 20  # windows of one document hashed at once
 MANY = 64  # rows of a group in one batch from which it is thinned
 SETTLED, DUP, OPEN = 0, 1, 2
@@ -95,14 +96,14 @@ def _anchors(buf: np.ndarray, off: np.ndarray, length: int):
 
 
 def _first_digit(length: int):
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(b: pa.RecordBatch):
         buf, off = text_buffer(b.column(2))
         d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        got = _anchors(buf, off, length)
-        if got is None:
-            return _rows(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
-        i, s, w, r, g, c = got
-        return _rows(g, c, d[i], t[i], s.astype(np.int64), w, r)
+        for p, q in slices(np.diff(off), PART):
+            got = _anchors(buf[off[p] : off[q]], off[p : q + 1] - off[p], length)
+            if got is not None:
+                i, s, w, r, g, c = got
+                yield _rows(g, c, d[p:q][i], t[p:q][i], s.astype(np.int64), w, r)
 
     return fn
 
