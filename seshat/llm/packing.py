@@ -50,30 +50,30 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in set(visible) else next(rest) for b in range(256)}
-        self.words: dict[str, list[int]] = {}
-        self.number: dict[str, int] = {}  # of a chunk
+        self.number: dict[str, int] = {}  # of a chunk or word
         self.ids, self.ends = array("i"), array("i", [0])
 
+    def add(self, key: str, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.number[key] = n = len(self.ends) - 2
+        return n
+
     def word(self, w: str) -> list[int]:
-        got = self.words.get(w)
-        if got is None:
-            got = [t.id for t in self.whole.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[w] = got
-        return got
+        """Ids of a word, which as a chunk of its own has the same."""
+        n = self.number.get(w)
+        if n is None:
+            n = self.add(w, [t.id for t in self.whole.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))])
+        return self.ids[self.ends[n] : self.ends[n + 1]].tolist()
 
     def chunk(self, c: str) -> int:
         """Number of a chunk, which is encoded now."""
         low = c.lower()
         if low.isascii() and "<|" not in c or _plain(c):
-            own = [i for w in PRETOKEN.findall(low) for i in self.word(w)]
-        else:
-            own = self.whole.encode(c, add_special_tokens=False).ids
-        self.ids.extend(own)
-        self.ends.append(len(self.ids))
-        self.number[c] = n = len(self.ends) - 2
-        return n
+            words = PRETOKEN.findall(low)
+            own = [i for w in words for i in self.word(w)]
+            return self.number[c] if words == [c] else self.add(c, own)
+        return self.add(c, self.whole.encode(c, add_special_tokens=False).ids)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
