@@ -18,29 +18,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import slices, staged
 
 CAPACITY = 4096
 SMALL = 64
 END = 2  # the id after each document
-CACHE = 400_000  # entries, emptied when full
+CACHE = 400_000  # words remembered, forgotten when so many
+SLICE = 2 << 20  # bytes of texts encoded together
 SEQUENCES = 1 << 40  # sequence ids of a class
 
 # Fixed value: the word pattern of the vocabulary's pre-tokenizer.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The same words but for those of letters, which then lie between them and white space.
+BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\t\n\x0b\x0c\r \pL\pN]+)"
+# What makes a text more than lower-casing of Latin letters between plain white space: other letters and marks,
+# separators that libraries see differently, a letter of two in lower case, the vocabulary's own marks.
+ODD = r"[^\x00-\x{17f}]|[\x1c-\x1f\x{85}\x{a0}\x{130}]|<\|"
 
 
 class Encoder:
     """Ids of texts as the tokenizer file gives them, without special tokens.
 
-    The vocabulary's words never cross white space, so a text's ids are those of its white-space chunks in turn; chunks
-    and words are remembered, and only new words reach the library. Chunks that its normaliser may change by more than
-    case, and texts with separators that Python and the library see differently, go to the library whole.
+    The vocabulary's words never cross white space. Plain texts (no ODD) are lower-cased and split into words by Arrow,
+    whole slices at a time; only the distinct words of a slice are looked up, and only new ones reach the library. Odd
+    texts go by white-space chunks: a chunk that is plain is split by PRETOKEN, any other goes to the library whole, as
+    do texts with separators that Python and the library see differently.
     """
 
     def __init__(self, path: str):
@@ -50,8 +58,11 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in set(visible) else next(rest) for b in range(256)}
-        self.number: dict[str, int] = {}  # of a chunk or word
-        self.ids, self.ends = array("i"), array("i", [0])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}  # of a word or odd chunk
+        self.ids, self.ends = array("i"), array("i", [0, 0])
 
     def add(self, key: str, ids: list[int]) -> int:
         self.ids.extend(ids)
@@ -59,51 +70,53 @@ class Encoder:
         self.number[key] = n = len(self.ends) - 2
         return n
 
-    def word(self, w: str) -> list[int]:
-        """Ids of a word, which as a chunk of its own has the same."""
-        n = self.number.get(w)
-        if n is None:
-            n = self.add(w, [t.id for t in self.whole.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))])
-        return self.ids[self.ends[n] : self.ends[n + 1]].tolist()
-
-    def chunk(self, c: str) -> int:
-        """Number of a chunk, which is encoded now."""
-        low = c.lower()
-        if low.isascii() and "<|" not in c or _plain(c):
-            words = PRETOKEN.findall(low)
-            own = [i for w in words for i in self.word(w)]
-            return self.number[c] if words == [c] else self.add(c, own)
-        return self.add(c, self.whole.encode(c, add_special_tokens=False).ids)
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.number) > CACHE:
-            self.number, self.ids, self.ends = {}, array("i"), array("i", [0])
-        get, out, numbers = self.number.get, [], []
-        for x in texts:
-            if _ODD(x):
-                numbers.append(None)
-                continue
-            own = x.split()
-            numbers.append([n if (n := get(c)) is not None else self.chunk(c) for c in own])
-        flat, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int32)  # copies, as the arrays grow
-        for x, own in zip(texts, numbers, strict=True):
-            if own is None:
-                out.append(np.array(self.whole.encode(x, add_special_tokens=False).ids, np.int32))
-                continue
-            k = np.array(own, np.int64)
+    def word(self, w: str) -> int:
+        """Number of a new word of plain letters, a digit, or signs."""
+        shown = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet)
+        return self.add(w, [t.id for t in self.whole.model.tokenize(shown)])
+
+    def chunk(self, c: str) -> list[int]:
+        """Numbers of the words of a white-space chunk, or of the whole chunk if it is not plain."""
+        low, get = c.lower(), self.number.get
+        if "<|" not in c and all(ch < "\u0180" and ch != "\u0130" for ch in c):
+            return [n if (n := get(w)) is not None else self.word(w) for w in PRETOKEN.findall(low)]
+        key = f" {c}"  # no word begins with a space
+        return [n if (n := get(key)) is not None else self.add(key, self.whole.encode(c, add_special_tokens=False).ids)]
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of plain texts, one text after the other, and how many words each has."""
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), BETWEEN, r" \1 "))
+        found, get = lists.flatten().dictionary_encode(), self.number.get
+        known = np.array([n if (n := get(w)) is not None else self.word(w) for w in found.dictionary.to_pylist()], np.int32)
+        return known[found.indices.to_numpy()], pc.list_value_length(lists).to_numpy()
+
+    def odd(self, text: str) -> list[int]:
+        """Numbers of what an odd text consists of."""
+        if _SEPARATED(text):
+            key = f"  {text}"
+            n = self.add(key, self.whole.encode(text, add_special_tokens=False).ids)
+            del self.number[key]  # texts are not remembered
+            return [n]
+        return [n for c in text.split() for n in self.chunk(c)]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none is null."""
+        if len(self.ends) > CACHE:
+            self.forget()
+        odd = pc.match_substring_regex(texts, ODD)
+        numbers, words = self.plain(texts.filter(pc.invert(odd)))
+        parts = iter(np.split(numbers, np.cumsum(words)[:-1]))
+        own = [np.array(self.odd(t.as_py()), np.int32) if o else next(parts) for t, o in zip(texts, odd.to_pylist(), strict=True)]
+        flat, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)  # copies, as the arrays grow
+        out = []
+        for k in own:
             size = ends[k + 1] - ends[k]
             upto = np.cumsum(size)
             out.append(flat[np.arange(upto[-1] if len(k) else 0) + np.repeat(ends[k] - upto + size, size)])
         return out
 
 
-_ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]").search
-
-
-def _plain(c: str) -> bool:
-    """Latin letters whose lower case and composed form need no more than str.lower."""
-    return "<|" not in c and all(ch < "\u0180" and ch != "\u0130" for ch in c)
+_SEPARATED = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]").search
 
 
 _encoders: dict[str, Encoder] = {}
@@ -136,20 +149,24 @@ def _pieces(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known, count = TaskContext.get().partitionId(), encoder(path), {}
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                texts = [x or "" for x in b.column(1).slice(at, 500).to_pylist()]
-                doc = b.column(0).slice(at, 500).to_pylist()
+            texts = b.column(1).fill_null("")
+            for p, q in slices(pc.binary_length(texts).to_numpy(), SLICE):
+                docs = b.column(0).slice(p, q - p).to_pylist()
+                own = [np.append(x, END).astype("<u4") for x in known.batch(texts.slice(p, q - p))]
                 rows = []
-                for d, own in zip(doc, known.batch(texts), strict=True):
-                    ids = np.append(own, END).astype("<u4")
+                for d, ids in zip(docs, own, strict=True):
                     start = 0
                     for n in cut(len(ids)):
-                        piece = ids[start : start + n]
                         count[n] = count.get(n, -1) + 1
-                        rows.append((part, d, start, n, zlib.crc32(piece), len(ids), count[n], piece.tolist() if with_ids else None))
+                        rows.append((part, d, start, n, zlib.crc32(ids[start : start + n]), len(ids), count[n]))
                         start += n
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                if with_ids:  # pieces lie end to end, as the documents do
+                    ends = np.cumsum([0, *(r[3] for r in rows)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).astype(np.int32))))
+                else:
+                    columns.append(pa.nulls(len(rows), pa.list_(pa.int32())))
+                yield pa.record_batch(columns, names=[c.split()[0] for c in PIECES.split(", ")])
 
     return run
 

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import seshat.llm.packing as m
@@ -21,15 +22,15 @@ def test_encoder_equals_the_library(spark):
     made = ["".join(r.choice("aé'sTß \n.,1中́İ|<>ſ") for _ in range(60)) for _ in range(300)]
     e = m.Encoder(PATH)
     for x in (odd, docs, made):
-        assert [a.tolist() for a in e.batch(x)] == [t.encode(y, add_special_tokens=False).ids for y in x]
+        assert [a.tolist() for a in e.batch(pa.array(x))] == [t.encode(y, add_special_tokens=False).ids for y in x]
 
 
 def test_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(m, "CACHE", 5)
     e = m.Encoder(PATH)
-    a = [x.tolist() for x in e.batch(["one two three four five six seven"])]
-    assert [x.tolist() for x in e.batch(["one two three four five six seven"])] == a
-    e.batch(["eight"])
+    a = [x.tolist() for x in e.batch(pa.array(["one two three four five six seven"]))]
+    assert [x.tolist() for x in e.batch(pa.array(["one two three four five six seven"]))] == a
+    e.batch(pa.array(["eight"]))
     assert len(e.number) < 9
 
 
