@@ -30,7 +30,7 @@ CAPACITY = 4096
 SMALL = 64
 END = 2  # the id after each document
 CACHE = 400_000  # words remembered, forgotten when so many
-SLICE = 2 << 20  # bytes of texts encoded together
+SLICE = 4 << 20  # bytes of texts encoded together
 SEQUENCES = 1 << 40  # sequence ids of a class
 
 # Fixed value: the word pattern of the vocabulary's pre-tokenizer.
@@ -83,12 +83,20 @@ class Encoder:
         key = f" {c}"  # no word begins with a space
         return [n if (n := get(key)) is not None else self.add(key, self.whole.encode(c, add_special_tokens=False).ids)]
 
-    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words of plain texts, one text after the other, and how many words each has."""
-        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), BETWEEN, r" \1 "))
-        found, get = lists.flatten().dictionary_encode(), self.number.get
-        known = np.array([n if (n := get(w)) is not None else self.word(w) for w in found.dictionary.to_pylist()], np.int32)
-        return known[found.indices.to_numpy()], pc.list_value_length(lists).to_numpy()
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words known, end to end, and where each begins; copies, as the arrays grow."""
+        return np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+
+    def plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of plain texts. Each distinct chunk is split into words once, each distinct word of those looked up once."""
+        by_text = pc.ascii_split_whitespace(texts)
+        chunks = by_text.flatten().dictionary_encode()
+        by_chunk = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks.dictionary), BETWEEN, r" \1 "))
+        words, get = by_chunk.flatten().dictionary_encode(), self.number.get
+        numbers = np.array([n if (n := get(w)) is not None else self.word(w) for w in words.dictionary.to_pylist()], np.int32)
+        ids, ends = gathered(*self.known(), numbers[words.indices.to_numpy()])
+        ids, ends = gathered(ids, ends[_ends(by_chunk)], chunks.indices.to_numpy())
+        return np.split(ids, ends[_ends(by_text)[1:-1]])
 
     def odd(self, text: str) -> list[int]:
         """Numbers of what an odd text consists of."""
@@ -104,16 +112,21 @@ class Encoder:
         if len(self.ends) > CACHE:
             self.forget()
         odd = pc.match_substring_regex(texts, ODD)
-        numbers, words = self.plain(texts.filter(pc.invert(odd)))
-        parts = iter(np.split(numbers, np.cumsum(words)[:-1]))
-        own = [np.array(self.odd(t.as_py()), np.int32) if o else next(parts) for t, o in zip(texts, odd.to_pylist(), strict=True)]
-        flat, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)  # copies, as the arrays grow
-        out = []
-        for k in own:
-            size = ends[k + 1] - ends[k]
-            upto = np.cumsum(size)
-            out.append(flat[np.arange(upto[-1] if len(k) else 0) + np.repeat(ends[k] - upto + size, size)])
-        return out
+        plain = iter(self.plain(texts.filter(pc.invert(odd))))
+        numbers = {i: np.array(self.odd(texts[i].as_py()), np.int32) for i, o in enumerate(odd.to_pylist()) if o}
+        known = self.known() if numbers else ()
+        return [gathered(*known, numbers[i])[0] if i in numbers else next(plain) for i in range(len(texts))]
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `which` of values, of which run i is from ends[i] to ends[i + 1], end to end, and their ends."""
+    size = ends[which + 1] - ends[which]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return values[np.arange(upto[-1]) + np.repeat(ends[which] - upto[:-1], size)], upto
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)])
 
 
 _SEPARATED = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]").search
