@@ -29,8 +29,8 @@ from .common import slices, staged
 CAPACITY = 4096
 SMALL = 64
 END = 2  # the id after each document
-CACHE = 400_000  # words remembered, forgotten when so many
-SLICE = 4 << 20  # bytes of texts encoded together
+CACHE = 250_000  # words remembered, forgotten when so many
+SLICE = 2 << 20  # bytes of texts encoded together
 SEQUENCES = 1 << 40  # sequence ids of a class
 
 # Fixed value: the word pattern of the vocabulary's pre-tokenizer.
