@@ -88,3 +88,22 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.length, r.doc_tokens) for r in got) == [(0, 2, 2), (1, 1, 1), (2, 1, 1), (2, 1, 1)]
     assert len({(r.sequence_id, r.offset) for r in got}) == 4
     assert m.pack(df.limit(0), PATH).collect() == []
+
+
+def test_slices_of_plain_odd_null_and_long_texts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["Plain words, it's 42.", None, "", " \t\n", "中文 and plain", "a\x1cb", "ŉ É\xa0x", "one long text's words, " * 3000, "x" * 5000, "<|endoftext|>", "Plain words, it's 42."]
+    docs = [(i, x) for i, x in enumerate(texts)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc", "x"])
+    monkeypatch.setattr(m.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(m, "SLICE", size)
+        for rows in (batch, batch.slice(2, 7), batch.slice(0, 0)):
+            got = defaultdict(list)
+            for b in m._pieces(PATH, True)(iter([rows])):
+                for r in b.to_pylist():
+                    assert r["length"] == len(r["ids"]) and r["start"] == len(got[r["doc"]]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+                    got[r["doc"]] += r["ids"]
+            assert dict(got) == {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in docs if i in rows.column(0).to_pylist()}
