@@ -15,8 +15,8 @@ A digit is compared as a 64-bit hash, together with a second one of all bytes a
 64 of their bytes), so unequal strings meet with a chance of the order of 2^-64 a pair.
 
 A hot group is thinned before it is shuffled: within PART bytes of texts, of equal runs only the earliest is compared
-with other batches, and a group of many different runs sends two of them and passes the others on undecided. Those
-rows get a key of their own, so they spread. Groups are ranked by Spark's external sort, never held in Python.
+with other batches, and (before digit 3) a group of many different runs sends two of them and passes the others on undecided.
+Those rows get a key of their own, so they spread; in digit 3 rows spread by both hashes. Groups are ranked by Spark's external sort, never held in Python.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ SETTLED, DUP, OPEN = 0, 1, 2
 ROWS = "g long, c long, d long, t long, s long, w int, r int, f int"
 
 
-def _rows(g, c, d, t, s, w, r) -> pa.RecordBatch:
-    """A batch of runs, thinned: g, c digit and whole hash; d, t document; s first window, w windows, r anchor's offset, f outcome so far."""
+def _rows(g, c, d, t, s, w, r, last: bool = False) -> pa.RecordBatch:
+    """A batch of runs, thinned (in the last digit only equal ones, as no digit is left for undecided ones): g, c digit and whole hash; d, t document; s first window, w windows, r anchor's offset, f outcome so far."""
     f = np.zeros(len(g), np.int32)
     if len(g):
         o = np.argsort(g, kind="stable")
@@ -58,7 +58,7 @@ def _rows(g, c, d, t, s, w, r) -> pa.RecordBatch:
             dup = same & ~((d[i] == d[i[head]]) & (t[i] == t[i[head]]) & (s[i] == s[i[head]]))
             number = np.cumsum(~same)
             first = np.maximum.accumulate(np.where(~same_g, number, 0))
-            undecided = ~dup & (number - first >= 2)
+            undecided = ~dup & (number - first >= 2) & (not last)
             f[i[dup]], f[i[undecided]] = DUP, OPEN
             own = i[dup | undecided]
             g[own] = mix(mix((d[own] + s[own] * 31).astype(np.uint64)) ^ U(0x5BD1E995) ^ g[own])
@@ -148,7 +148,7 @@ def _third_digit(length: int):
             i = np.repeat(np.arange(len(s)), w)
             at = s[i] + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
             one, two = h64[at + base[i]], h64[at + base[i] + length - 64]
-            yield _rows(mix(one), mix(two), d[i], t[i], at, np.ones(len(i)), np.zeros(len(i)))
+            yield _rows(mix(one), mix(two), d[i], t[i], at, np.ones(len(i)), np.zeros(len(i)), last=True)
 
     return fn
 

@@ -88,3 +88,37 @@ def test_repeated_rows_empty_table_and_other_columns(spark):
 def test_length_is_checked(spark):
     with pytest.raises(ValueError):
         suffix_dedup(spark.range(1).selectExpr("id doc_id", "'' text"), length=20)
+
+
+def test_last_digit_of_hot_groups(monkeypatch):
+    """One passage followed by a hundred names: over MANY different rows a group in each block; their outcomes, ranked as Spark does, against brute force."""
+    import pyarrow as pa
+
+    import seshat.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "BLOCK", 4096)
+    monkeypatch.setattr(m, "MANY", 8)
+    r = random.Random(11)
+    passage, names = "p" * 20 + words(r, 14), [words(r, 12) for _ in range(100)]
+    texts = [f"{passage} {names[i % 100]}" for i in range(300)]
+    rows = []
+    for at in range(0, 300, 60):  # several partitions
+        part = [x.encode() for x in texts[at : at + 60]]
+        runs = [[{"s": 0, "w": len(x) - L + 1, "r": 0}] for x in part]
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("w", pa.int32()), ("r", pa.int32())]))
+        n = len(part)
+        batch = pa.record_batch([pa.array(range(at, at + n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(part, pa.binary()), pa.array(runs, kind)], names=["_d", "_t", "_x", "runs"])
+        for b in m._third_digit(L)(batch):
+            rows += b.to_pylist()
+    first = {}
+    for x in sorted((x for x in rows if x["f"] == m.SETTLED), key=lambda x: (x["d"], x["s"])):
+        first.setdefault((x["g"], x["c"]), (x["d"], x["s"]))
+    got = {(x["d"], x["s"]) for x in rows if x["f"] == m.DUP or x["f"] == m.SETTLED and first[x["g"], x["c"]] != (x["d"], x["s"])}
+    seen, want = set(), set()
+    for d, x in enumerate(texts):
+        b = x.encode()
+        for s in range(len(b) - L + 1):
+            if b[s : s + L] in seen:
+                want.add((d, s))
+            seen.add(b[s : s + L])
+    assert got == want
