@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seshat.llm import decontam, packing, queries, simhash, suffix_dedup, toxicity
+from seshat.llm import decontam, near_copies, packing, queries, suffix_dedup, toxicity
 from seshat.llm.common import repeated_ids, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,8 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component. Rows without an id stay; of rows that repeat an id one stays."""
-    keep = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k"))
+    """The document with the smallest id of each component of near copies (Jaccard of five-word shingles 0.8 or more). Rows without an id stay; of rows that repeat an id one stays."""
+    keep = near_copies.near_copies(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k"))
     kept = docs.filter("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_k"), "left_semi")
     if repeated_ids(docs.filter("doc_id is not null"), "doc_id"):
         kept = kept.dropDuplicates(["doc_id"])
