@@ -2,28 +2,33 @@
 
 A text is cut into units (lines, or paragraphs at blank lines). A unit is normalised (lower case, runs of blanks as one
 space, trimmed) and stands for itself by a 128-bit digest. Digests are grouped over the whole corpus; the occurrence
-that ranks first (smallest id, then place) stays and the others are removed. Units of fewer than LEAST words are never
-removed, as chance repeats them.
+that ranks first (smallest id, then place) stays and the others are removed, with their places in the original text
+retained. Blank units are never removed; `least` can leave units of fewer words alone (by default none).
 
-Groups are pre-aggregated before the shuffle (a minimum and a count per digest), so a very common unit is a few rows;
-the join that marks its occurrences is a sort-merge join that adaptive execution splits when a digest is hot.
+A hot digest never meets in one task: within PART bytes of texts only its earliest occurrence is compared with other
+parts and the rest is decided at once, so a digest sends a row per part. The first one of each digest is a partial
+aggregate (a row per task and digest), and digests of one row leave before the join that marks the others.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, keyed, map_batches, staged
+from .common import id_of, keyed, map_batches, slices, staged, text_buffer
 
-LEAST = 8
-_BLANKS = re.compile(r"[ \t\r\x0b\x0c\n]+")
+PART = 8 << 20  # bytes of texts whose units are compared at once
+BLANK = " \t\r\x0b\x0c\n"
+_BLANKS = re.compile(f"[{BLANK}]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
-UNITS = "h1 long, h2 long, d long, t long, u int, s long, n long"
+UNITS = "h1 long, h2 long, d long, t long, u int, gone boolean"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def units(text: str | None, by: str = "line") -> list[tuple[int, int]]:
@@ -44,55 +49,73 @@ def normal(unit: str) -> str:
     return _BLANKS.sub(" ", unit.lower()).strip(" ")
 
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", least: int = LEAST) -> DataFrame:
-    """A row per removed unit: the document's id and key (_d, _t), unit (from 0), start and length in characters of the
-    original, and the id and unit of the occurrence that stays. See line_dedup for odd rows."""
-
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for d, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            for k, (s, e) in enumerate(units(x, by)):
-                own = normal(x[s:e])
-                if own.count(" ") + 1 >= least and own:
-                    h = xxhash.xxh3_128_intdigest(own.encode("utf-8", "ignore"))
-                    rows.append((h >> 64, h & (2**64 - 1), d, t, k, s, e - s))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = (pa.uint64(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        return pa.record_batch([arrays[0].view(pa.int64()), arrays[1].view(pa.int64()), *arrays[2:]], names=[c.split()[0] for c in UNITS.split(", ")])
-
-    rows = staged(map_batches(keyed(docs, id_col, text_col), fn, UNITS), "units")
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "u")).alias("first"), F.count("*").alias("count")).filter("count > 1").drop("count")
-    gone = rows.join(first, ["h1", "h2"]).filter(F.struct("d", "t", "u") > F.col("first"))
-    return gone.select(id_of("d").alias(id_col), F.col("u").alias("unit"), F.col("s").alias("start"), F.col("n").alias("length"), id_of("first.d").alias("kept_id"), F.col("first.u").alias("kept_unit"), F.col("d").alias("_d"), F.col("t").alias("_t"))
-
+def _later(h1: np.ndarray, h2: np.ndarray, d: np.ndarray, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Whether a unit's digest occurs earlier among these; repeated rows of one document are one."""
+    o = np.lexsort((u, t, d, h2, h1))
+    same = np.concatenate([[False], (h1[o][1:] == h1[o][:-1]) & (h2[o][1:] == h2[o][:-1])])
+    head = o[np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))]
+    out = np.zeros(len(o), bool)
+    out[o] = same & ~((d[o] == d[head]) & (t[o] == t[head]) & (u[o] == u[head]))
+    return out
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", least: int = LEAST) -> DataFrame:
-    """For each row the id, removed (start and length of each removed unit in the original text) and kept_text.
 
-    kept_text lacks the removed lines with their line ends (paragraphs: with the break before them). Null texts stay
-    null, empty ones empty. A null id ranks first. Rows that repeat id and text are one document; rows with one id and
-    different texts are ranked by a hash of the text. Other columns are ignored.
+def _digests(by: str, least: int):
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, off = text_buffer(b.column(2))
+        for p, q in slices(np.diff(off), PART):
+            part = b.slice(p, q - p)
+            hashes, own = [], []
+            for k, x in enumerate(part.column(2).to_pylist()):
+                for n, (s, e) in enumerate(units(x, by)):
+                    unit = normal(x[s:e])
+                    if unit and (least < 2 or unit.count(" ") + 1 >= least):
+                        hashes.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "ignore")))
+                        own.append((k, n))
+            if not own:
+                continue
+            h = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
+            at = np.array(own, np.int64)
+            d, t = (part.column(i).to_numpy(zero_copy_only=False)[at[:, 0]] for i in (0, 1))
+            u = at[:, 1].astype(np.int32)
+            yield pa.record_batch([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(d), pa.array(t), pa.array(u), pa.array(_later(h[:, 0], h[:, 1], d, t, u))], names=["h1", "h2", "d", "t", "u", "gone"])
+
+    return fn
+
+
+def _gone(texts: DataFrame, by: str, least: int) -> DataFrame:
+    """For each document (_d, _t) with removed units their numbers."""
+    rows = staged(map_batches(texts.filter(F.octet_length("_x") > 0), _digests(by, least), UNITS), "units")
+    left = rows.filter("not gone")
+    first = left.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "u")).alias("first"), F.count("*").alias("count")).filter("count > 1").drop("count")
+    later = left.join(first, ["h1", "h2"]).filter(F.struct("d", "t", "u") > F.col("first"))
+    return rows.filter("gone").select("d", "t", "u").unionByName(later.select("d", "t", "u")).groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("u").alias("gone"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", least: int = 1) -> DataFrame:
+    """For each row the id, n_units (not blank), removed (start and length in characters of each removed unit in the
+    original text, in order) and kept_text.
+
+    kept_text is the units that stay, joined by line ends (paragraphs: each with the break before it). Null texts have
+    no units and stay null, empty ones empty. A null id ranks first. Rows that repeat id and text are one document (each
+    gets its result, none is a copy of another); rows with one id and different texts are ranked by a hash of the text.
+    Very long texts are cut into units like others. Other columns are ignored; an empty table gives an empty result.
     """
     texts = keyed(docs, id_col, text_col)
-    gone = removed_units(docs, id_col, text_col, by, least).groupBy("_d", "_t").agg(F.collect_set("unit").alias("gone"))
-
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        kept, removed = [], []
-        for x, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            spans, own = units(x, by), set(own or ())
-            removed.append([{"start": s, "length": e - s} for k, (s, e) in enumerate(spans) if k in own])
-            if x is None or not own:
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, off = text_buffer(b.column(1))
+        for p, q in slices(np.diff(off), PART):
+            part = b.slice(p, q - p)
+            kept, removed, n = [], [], []
+            for x, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                spans, own = units(x, by), set(own or ())
+                n.append(sum(bool(x[s:e].strip(BLANK)) for s, e in spans))
+                removed.append([{"start": s, "length": e - s} for k, (s, e) in enumerate(spans) if k in own])
+                if own:
+                    stay = [k for k in range(len(spans)) if k not in own]
+                    x = "".join((x[spans[k - 1][1] : spans[k][0]] if i else "") + x[spans[k][0] : spans[k][1]] for i, k in enumerate(stay))
                 kept.append(x)
-            else:
-                between = [x[a[1] : z[0]] for a, z in zip(spans, spans[1:], strict=False)]
-                out = ""
-                for k, (s, e) in enumerate(spans):
-                    if k not in own:
-                        out += (between[k - 1] if k and out else "") + x[s:e]
-                kept.append(out)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.record_batch([b.column(0), pa.array(removed, kind), pa.array(kept, pa.string())], names=["_d", "removed", "kept_text"])
-
-    both = texts.join(gone.hint("shuffle_hash"), ["_d", "_t"], "left").select("_d", "_x", "gone")
-    return map_batches(both, fn, "_d long, removed array<struct<start:long,length:long>>, kept_text string").select(id_of().alias(id_col), "removed", "kept_text")
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.string())], names=["_d", "n_units", "removed", "kept_text"])
+
+    both = texts.join(_gone(texts, by, least), ["_d", "_t"], "left").select("_d", "_x", "gone")
+    return map_batches(both, fn, "_d long, n_units long, removed array<struct<start:long,length:long>>, kept_text string").select(id_of().alias(id_col), "n_units", "removed", "kept_text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, licenses, line_dedup, packing, quality, quality_rules, simhash, suffix_dedup, toxicity
 from .common import documents
@@ -43,7 +44,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_units(documents(spark, sf_dir)).drop("_d", "_t")
+    got = line_dedup.line_dedup(documents(spark, sf_dir))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("+", x["start"], x["length"])), ",")
+    return got.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), spans.alias("removed_spans"), "kept_text")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +72,16 @@ SQL = {
     "op6_line_dedup": r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 units AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM cut),
-placed AS (SELECT doc_id, unit, length(line) AS length,
+placed AS (SELECT doc_id, unit, line, length(line) AS length,
     sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start,
     trim(regexp_replace(lower(line), '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ') AS norm FROM units),
-ranked AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS kept_id, first_value(unit) OVER w AS kept_unit
-    FROM placed WHERE length(norm) - length(replace(norm, ' ', '')) >= 7 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, kept_id,
-    CAST(kept_unit AS INTEGER) AS kept_unit FROM ranked WHERE nth > 1
+ranked AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone FROM placed),
+done AS (SELECT doc_id, count(*) FILTER (norm <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+    coalesce(sum(length) FILTER (gone), 0) AS removed_chars,
+    coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '+' || CAST(length AS VARCHAR), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
+    coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept_text FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars,
+    coalesce(removed_spans, '') AS removed_spans, CASE WHEN d.text IS NOT NULL THEN coalesce(kept_text, '') END AS kept_text
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
 """,
 }
