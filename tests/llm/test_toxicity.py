@@ -9,15 +9,29 @@ def scorer():
 
 def test_clauses_not_words():
     s = scorer()
-    assert s.score("you are an idiot") >= 0.7
-    assert s.score("a blorf here") >= 0.7 and s.score("zaggoni there") >= 0.7 and s.score("zagg") < 0.7
-    assert s.score("I will kill you") >= 0.7
-    assert s.score("kill the process") < 0.7  # a threat needs a target
+    for toxic in ("you are an idiot", "they are scum", "these people are worthless", "idiot, you did it", "your stupid plan", "stupid idiot", "you blorf", "you're a zaggoni", "I will kill you", "we will crush them", "an idiot. a moron. some scum"):
+        assert s.score(toxic) >= 0.7, toxic
+    for clean in ("idiot", "Garbage collection runs nightly.", "The report lists garbage and trash.", "a blorf here", "zaggoni there", "idiot " + "and so on " * 5 + "idiot. idiot. idiot", "kill the process", "kill them all", "beat her record", "zagg", "the clown took out the trash", "a stupid thing to forget"):
+        assert s.score(clean) < 0.7, clean
     assert s.score("") == s.score(None) == s.score("idio tic words") < 0.1
-    assert s.score("he is not an idiot") < s.score("he is an idiot")
-    assert s.score("she said idiot") < s.score("she wore idiot")
+    assert s.score("he is not an idiot") < 0.7 < s.score("he is an idiot")
+    assert s.score("she said you idiot") < 0.7 < s.score("she said hello. you idiot")
     assert s.score("an idiot") < s.score("an idiot. a moron. some scum")
-    assert s.score("she said hello. you idiot") > s.score("she said you idiot")
+
+
+def test_lowered_clauses_do_not_add_up():
+    s = scorer()
+    quotes = ". ".join(f"She {v} {w} are {x}" for v in ("said you", "wrote that they", "reported that you") for w in ("all", "people") for x in ("idiots", "stupid", "scum", "worthless losers"))
+    assert s.score(quotes) < 0.7
+    assert s.score("They are not idiots. You are not stupid. He is never worthless. These people aren't scum." * 20) < 0.7
+    assert s.score("plain words. " * 200_000 + "a moron") < 0.7 < s.score("plain words. " * 200_000 + "you moron")  # very long
+
+
+def test_labels_lower_seeds(spark):
+    rows = [(f"the stupid gizmo w{'abcdefghij'[i % 10]} runs", 0) for i in range(40)] + [(f"you gronk v{'abcdefghij'[i % 10]} gronk", 1) for i in range(40)]
+    s = m.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "stupid" not in s.words and s.words["idiot"] == 1.0 and s.words["gronk"] > 0.6
+    assert s.score("your stupid gizmo") < 0.7
 
 
 def test_clauses_have_places():
@@ -27,17 +41,16 @@ def test_clauses_have_places():
 
 
 def test_composition_is_the_product():
-    machines = (m._insult(), m._threat(), m._near(m.TARGET, 1.25, 4), m._near(m.NEGATION, 0.4, 2), m._near(m.REPORT, 0.4, 6))
-    nexts, weights = m.compose(*machines)
+    nexts, weights = m.GRAMMAR
     import itertools
 
-    for seq in itertools.product(range(6), repeat=4):
-        state, states = 0, [x.start for x in machines]
+    for seq in itertools.product(range(9), repeat=4):
+        state, states = 0, [x.start for x in m.MACHINES]
         for c in seq:
-            got = [x.step(s, c) for x, s in zip(machines, states, strict=True)]
+            got = [x.step(s, c) for x, s in zip(m.MACHINES, states, strict=True)]
             states = [g[0] for g in got]
             want = (got[0][1] + got[1][1]) * got[2][1] * got[3][1] * got[4][1]
-            assert abs(weights[state][c] - want) < 1e-12
+            assert abs(weights[state][c][0] - want) < 1e-12 and weights[state][c][1] == got[3][1] * got[4][1]
             state = nexts[state][c]
 
 
@@ -51,6 +64,7 @@ def test_learned_words_and_held_out_accuracy(spark):
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     s = m.learn(m.training_rows(docs, lab))
     assert "grumf"[:4] in s.stems
+    docs = docs.withColumn("text", m.F.concat("text", m.F.lit(" you ", ), m.F.element_at(m.F.split("text", " "), 3)))
     got = {r.doc_id: r for r in m.score_toxicity(docs, s).collect()}
     for i, y in labels:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
@@ -59,11 +73,13 @@ def test_learned_words_and_held_out_accuracy(spark):
 
 
 def test_driver_tables(spark):
+    """Held-out labelled rows: recall 0.9 at least, false positives under one in a hundred."""
     d = "/root/testdata/sf0.1"
     docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     got = m.score_toxicity(docs, m.learn(m.training_rows(docs, lab))).join(lab, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0))
 
 
 def test_odd_rows(spark):
