@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seshat.llm import decontam, near_copies, packing, queries, suffix_dedup, toxicity
-from seshat.llm.common import repeated_ids, staged
+from seshat.llm.common import drop_staged, repeated_ids, staged, staged_so_far
 
+NO_ID_FROM = 1 << 62  # keys of rows without an id
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -18,12 +19,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies (Jaccard of five-word shingles 0.8 or more). Rows without an id stay; of rows that repeat an id one stays."""
-    keep = near_copies.near_copies(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k"))
-    kept = docs.filter("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_k"), "left_semi")
-    if repeated_ids(docs.filter("doc_id is not null"), "doc_id"):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """The document with the smallest id of each component of near copies (Jaccard of five-word shingles 0.8 or more).
+
+    Rows without an id rank behind all ids, by a hash of their text. Of rows that repeat an id, or text without an id, the
+    one that is smallest by text (null first), lang, source and n_chars stays."""
+    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID_FROM).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(NO_ID_FROM - 1)))))
+    found = near_copies.near_copies(rows, "_k")
+    keep = found.filter(F.col("_k") == F.col("component_id")).select(F.col("_k").alias("_one")).distinct()
+    kept = rows.join(keep, F.col("_k") == F.col("_one"), "left_semi")
+    if repeated_ids(rows, "_k"):
+        kept = kept.groupBy("_k").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("_r")).select("_r.*")
+    return kept.select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written as Parquet and read again; returns the pieces of the packed sequences."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return staged(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    out = staged(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    drop_staged(spark, before, but_last=1)
+    return out

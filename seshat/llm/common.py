@@ -19,10 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset in local mode, as in tests, one in the warehouse."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_seshat_shared"
 
 
@@ -35,12 +37,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables that `staged` wrote in this process; results that still read them become unreadable."""
+def staged_so_far() -> int:
+    """How many tables `staged` has written in this process and kept."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Delete the tables that `staged` wrote in this process after the first `since`, but for the last ones; results that still read them become unreadable."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    until = len(_staged) - but_last
+    for name in _staged[since:until]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _staged[since:until]
 
 
 def repeated_ids(df: DataFrame, id_col: str) -> bool:

@@ -1,12 +1,18 @@
-"""Near copies for the corpus pipeline: links at a Jaccard similarity of 0.8 or more of the sets of five-word shingles.
-
-The links are exact, found by prefix filtering. Under one order of all shingles, two sets of similarity 4/5 or more
-share one of their first n - ceil(4 n / 5) + 1 shingles (n in the set), so only those are shuffled, and only sets that
-meet at one are compared. Any order is right; this one puts shingles that are common in a sample last, and the rest by
-hash, so that boilerplate seldom brings texts together. Sizes and the number of shingles that two prefixes share
-rule out further pairs without loss.
-
-Equal sets are one before anything is replicated. First each set is compared with one of those it meets often; then, as only components are asked for, all pairs that meet and are not yet in one component.
+"""Near copies for the corpus pipeline: SimHash with an exact check, links at a Jaccard similarity of 0.8 or more of the
+sets of five-word shingles.
+
+Candidates come from the SimHash operator first: fingerprints of the five-word shingles, linked by anchor-point covering
+(see simhash); a link holds if the exact similarity of the two texts says so. But 64 bits cannot tell 0.8 from less:
+at that similarity fingerprints differ in about ten bits, and anchors within ten bits are nearly all anchors (most pairs
+of 0.8 or more in the test tables differ in more than three bits). So what the fingerprints leave apart is completed
+exactly by prefix filtering. Under one order of all shingles, two sets of similarity 4/5 or more share one of their
+first n - ceil(4 n / 5) + 1 shingles (n in the set), so only those are shuffled, and only sets that meet at one are
+compared. Any order is right; this one puts shingles that are common in a sample last, and the rest by hash, so that
+boilerplate seldom brings texts together. Sizes and the number of shingles that two prefixes share rule out further
+pairs without loss.
+
+Equal sets are one before anything is replicated. After the fingerprints, each set is compared with one of those it
+meets often; then, as only components are asked for, all pairs that meet and are not yet in one component.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bounded_sample, map_batches, staged
 from .components import components
 
@@ -27,7 +34,7 @@ NUM, DEN = 4, 5  # the least similarity, 4/5
 SAMPLE = 20_000  # texts in which common shingles are counted
 COMMON = 50_000  # common shingles at most
 LEAST_COMMON = 8  # texts of the sample
-ROUNDS = 2  # of one pair a set, before all pairs
+ROUNDS = 1  # of one pair a set, between the fingerprints' links and all pairs
 SEED = 42
 MET = "a long, g long, n long"
 
@@ -80,15 +87,16 @@ def _prefixes(h: np.ndarray, n: np.ndarray):
         return x[np.argsort(np.where(h[at] == x, n[at], 0), kind="stable")][:take]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, size, first = [], [], []
+        g, size, first, f = [], [], [], []
         for x in b.column(1).to_pylist():
             own = shingles(x)
             g.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            f.append(simhash.majority(own[at : at + simhash.PIECE] for at in range(0, len(own), simhash.PIECE)))
             size.append(len(own))
             first.append(prefix(own).view(np.int64))
         off = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
         flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "n", "first", "_x"])
+        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "first", "_x"])
 
     return fn
 
@@ -194,6 +202,15 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return staged(both.mapInArrow(fn, "u long, v long"), "copies-links")
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Pairs of sets with one fingerprint, or with fingerprints that the operator links; one set stands for each fingerprint."""
+    sets = prints.select("g", "f").dropDuplicates(["g"])
+    one = staged(sets.groupBy("f").agg(F.min("g").alias("one")), "copies-prints")
+    equal = sets.join(one, "f").filter("g <> one").select(F.col("g").alias("u"), F.col("one").alias("v"))
+    near = simhash.links(one).join(one.toDF("u", "p"), "u").join(one.toDF("v", "q"), "v").select(F.col("p").alias("u"), F.col("q").alias("v"))
+    return equal.union(near)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its id and component_id, the smallest id that its text reaches over links.
 
@@ -201,21 +218,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone has a null component_id. Repeated rows are each returned. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x"))
-    prints = staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, n long, first array<long>, _x string"), "copies")
+    prints = staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, first array<long>, _x string"), "copies")
     rows = prints.select("g", "n", "first").dropDuplicates(["g"]).select("g", "n", F.explode("first").alias("a")).select("a", "g", "n")
     met = staged(rows.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_meeting, MET), "copies-met")
 
-    links, roots = None, None
+    links = _verified(_by_fingerprint(prints), prints)
+    roots = components(links)
     for last in [False] * ROUNDS + [True]:
-        placed = met.withColumn("root", F.col("g")) if roots is None else met.join(roots.withColumnRenamed("node", "g"), "g", "left").select(*met.columns, F.coalesce("root", "g").alias("root"))
+        placed = met.join(roots.withColumnRenamed("node", "g"), "g", "left").select(*met.columns, F.coalesce("root", "g").alias("root"))
         found = placed.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_every if last else _some, "u long, v long, need long").groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
         if last:
             pairs = found.filter("shared >= need").select("u", "v")
         else:
             pairs = found.filter("4 * shared >= need").groupBy("u").agg(F.max_by("v", "shared").alias("v"))
         more = _verified(pairs, prints)
-        if links is None or more.limit(1).count():
-            links = more if links is None else links.union(more)
+        if more.limit(1).count():
+            links = links.union(more)
             roots = components(links)
     least = prints.groupBy("g").agg(F.min("_d").alias("least")).join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))

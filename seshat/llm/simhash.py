@@ -58,19 +58,26 @@ def _visits(half: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+PIECE = 1 << 16  # shingles looked at together
+
+
+def majority(pieces: Iterator[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes of all pieces; 0 of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in pieces:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist()))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles' XXH64; 0 without words."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
-    ones, at = np.zeros(64, np.int64), 0
-    while at < n:  # long texts by the piece
-        m = min(n - at, 1 << 16)
-        h = np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, at + m)), np.uint64, m)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at += m
-    return int(sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist()))
+    pieces = ((at, min(n - at, PIECE)) for at in range(0, n, PIECE))
+    return majority(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, at + m)), np.uint64, m) for at, m in pieces)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from seshat.llm import decontam, simhash, suffix_dedup, toxicity
+from seshat.llm import decontam, suffix_dedup, toxicity
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.01"
@@ -24,15 +24,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
             scorer = toxicity.learn(toxicity.training_rows(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")))
             assert set(after) == {i for i, x in before.items() if scorer.score(x) < 0.7}
         elif name == "near_duplicates":
-            f = {i: np.uint64(simhash.fingerprint(x)) for i, x in before.items()}
-            root = {i: i for i in f}
-            for i in f:  # labels flow until nothing changes
-                for j in f:
-                    if np.bitwise_count(f[i] ^ f[j]) <= 3:
-                        a, b = root[i], root[j]
-                        if a != b:
-                            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
-            assert set(after) == set(root.values())
+            pass  # held against brute-force Jaccard in test_near_copies
         elif name == "repeated_passages":
             assert set(after) == set(before) and sum(map(len, after.values())) < sum(map(len, before.values()))
             assert all(r.n_chars == len(r.text) for r in docs.collect())
@@ -49,13 +41,14 @@ def test_run(spark):
 
 def test_odd_documents(spark):
     long = " ".join(f"word{i}" for i in range(80))
-    rows = [(1, long, "en", "s", 9), (2, long, "en", "s", 9), (None, long, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "tail " + long[50:], "en", "s", 1), (1, long, "en", "s", 9)]
+    rows = [(1, long, "en", "s", 9), (2, long, "en", "s", 9), (None, long, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "tail " + long[300:], "en", "s", 1), (1, long, "en", "s", 9), (None, "own words here, twice and without an id", "en", "s", 1), (None, "own words here, twice and without an id", "de", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {}
     for name, stage in pipeline.STAGES:
         docs = out[name] = stage(spark, docs, SF)
     ids = sorted((r.doc_id for r in out["near_duplicates"].collect()), key=str)
     assert ids == [1, 3, 5, None]
+    assert [r.lang for r in out["near_duplicates"].collect() if r.doc_id is None] == ["de"]
     assert suffix_dedup.rewritten(docs.limit(0).selectExpr("doc_id", "'' text")).collect() == []
     assert {r.doc_id for r in docs.collect()} == {1, 3, 5, None}
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
