@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import seshat.llm.decontam as m
 
@@ -28,14 +29,17 @@ def edited(r, s, n):
     return "".join(s)
 
 
-def test_matches_brute_force():
+@pytest.mark.parametrize("hits", [1 << 21, 7])
+def test_matches_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(m, "HITS", hits)
     r = random.Random(4)
-    items = [(i, m.normal(words(r, r.randrange(3, 40)))) for i in range(20)]
+    items = [(i, m.normal(words(r, r.randrange(2, 40) if i % 2 else r.randrange(2, 14)))) for i in range(40)]
+    assert {len(t) < 8 or len(t) // 20 for _, t in items} > {0, 1, 2, 3, 5}
     index = m.Index(items)
     texts = []
-    for _ in range(120):
+    for _ in range(160):
         i, t = r.choice(items)
-        t = edited(r, t.decode("utf-8", "ignore"), r.randrange(0, 8))
+        t = edited(r, t.decode("utf-8", "ignore"), r.randrange(0, 3 if len(t) < 80 else 8))
         texts.append(m.normal(words(r, r.randrange(0, 20)) + " " + t + " " + words(r, r.randrange(0, 20))))
     texts += [b"", b"a"]
     got = index.matches(texts)
@@ -44,7 +48,7 @@ def test_matches_brute_force():
         found = {i: e for i, _, _, e in own}
         for i, t in items:
             e = m.budget(len(t))
-            d = distance(t, x)
+            d = distance(t, x) if len(t) >= m.SHORT else 0 if b" " + t + b" " in b" " + x + b" " else 1
             assert (i in found) == (d <= e), (i, d, e)
             if i in found:
                 hits += 1
@@ -81,6 +85,16 @@ def test_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, m.find_leaks(docs, bench).collect()))
     monkeypatch.setattr(m, "BLOCK", 3000)
     assert sorted(map(tuple, m.find_leaks(docs, bench).collect())) == whole
+    assert sorted(r.doc_id for r in m.without_leaks(docs, bench).collect()) == sorted({r.doc_id for r in docs.collect()} - {x[0] for x in whole})
     exact = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if m.normal(b.text) in m.normal(d.text)}
     assert exact <= {(x[0], x[1]) for x in whole} and len(whole) < len(exact) + 5
     assert np.array(whole).size
+
+
+def test_long_texts_and_index_size():
+    r = random.Random(9)
+    item = m.normal(words(r, 60))
+    index = m.Index([(1, item), (2, m.normal(words(r, 200_000)))])
+    assert [x[0] for x in index.matches([m.normal(words(r, 150_000)) + b" " + item])[0]] == [1]
+    held = sum(a.nbytes for t in index.tables for a in (t.grams, t.first, t.item, t.pos, t.seen))
+    assert held < 30 * sum(map(len, index.texts))
