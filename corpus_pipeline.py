@@ -24,8 +24,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id rank behind all ids, by a hash of their text. Of rows that repeat an id, or text without an id, the
     one that is smallest by text (null first), lang, source and n_chars stays."""
     rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID_FROM).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(NO_ID_FROM - 1)))))
-    found = near_copies.near_copies(rows, "_k")
-    keep = found.filter(F.col("_k") == F.col("component_id")).select(F.col("_k").alias("_one")).distinct()
+    before, found = staged_so_far(), near_copies.near_copies(rows, "_k")
+    keep = staged(found.filter(F.col("_k") == F.col("component_id")).select(F.col("_k").alias("_one")).distinct(), "one-of-each")
+    drop_staged(spark, before, but_last=1)
     kept = rows.join(keep, F.col("_k") == F.col("_one"), "left_semi")
     if repeated_ids(rows, "_k"):
         kept = kept.groupBy("_k").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("_r")).select("_r.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged, staged_so_far
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Null ends, loops and repeated links have no effect. Raises RuntimeError if it has not settled after most_rounds
     (a path of n nodes takes about 2 log2 n).
     """
+    spark, tables = links.sparkSession, staged_so_far()
     edges = staged(_tidy(links.select("u", "v").filter("u is not null and v is not null")), "links")
     before = None
     for _ in range(most_rounds):
         edges = staged(_tidy(_small(_tidy(_large(edges)))), "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop_staged(spark, tables, but_last=1)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_sample, map_batches, staged
+from .common import bounded_sample, drop_staged, map_batches, staged, staged_so_far
 from .components import components
 
 SHINGLE = 5
@@ -184,6 +184,7 @@ def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Of distinct pairs u, v the ones that are similar."""
+    before = staged_so_far()
     pairs = staged(pairs, "copies-pairs")
     ends = pairs.select(F.col("u").alias("g")).union(pairs.select("v")).distinct()
     texts = staged(prints.select("g", "_x").join(ends, "g", "left_semi").dropDuplicates(["g"]), "copies-texts")
@@ -199,7 +200,9 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     both = pairs.join(texts.toDF("v", "_y"), "v").join(texts.toDF("u", "_x"), "u").select("u", "v", "_x", "_y")
-    return staged(both.mapInArrow(fn, "u long, v long"), "copies-links")
+    links = staged(both.mapInArrow(fn, "u long, v long"), "copies-links")
+    drop_staged(links.sparkSession, before, but_last=1)
+    return links
 
 
 def _by_fingerprint(prints: DataFrame) -> DataFrame:

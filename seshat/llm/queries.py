@@ -69,6 +69,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language, op4_quality, op5_licenses, op6_line_dedup, op7_quality_rules, op8_packing, op9_simhash, op10_decontamination)}
 
 SQL = {
+    "op2_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+size AS (SELECT doc_id, h, length(h) // 2 AS n FROM docs),
+starts AS (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM size WHERE n >= 100),
+windows AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS w FROM starts),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1),
+steps AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM again),
+runs AS (SELECT doc_id, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run, s FROM steps),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+per AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, min(a) AS first FROM spans GROUP BY doc_id),
+rest AS (SELECT g.doc_id, string_agg(substr(h, 2 * z + 1, 2 * (coalesce(next, n) - z)), '' ORDER BY z) AS tail FROM gaps g JOIN size USING (doc_id) GROUP BY g.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN first IS NULL THEN h ELSE substr(h, 1, 2 * first) || tail END)) AS kept_sha256
+FROM size LEFT JOIN per USING (doc_id) LEFT JOIN rest USING (doc_id)
+""",
     "op6_line_dedup": r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 units AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM cut),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import U, join, levels, mix, sliding_min
-from .common import NO_ID, id_of, keyed, map_batches, repeated_ids, slices, staged, text_buffer
+from .common import NO_ID, drop_staged, id_of, keyed, map_batches, repeated_ids, slices, staged, staged_so_far, text_buffer
 
 K = 32  # bytes of an anchor
 BIN = 8  # windows of a run that digit 2 takes together
@@ -208,7 +208,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows with one id and different texts are separate, ordered by a hash of the text. Other columns are ignored.
     """
     texts = keyed(docs, id_col, text_col)
-    final = texts.join(_repeated(texts, length).hint("shuffle_hash"), ["_d", "_t"], "left").select("_d", "_t", "_x", "runs")
+    final = texts.join(_repeated(texts, length), ["_d", "_t"], "left").select("_d", "_t", "_x", "runs")
     out = map_batches(final, _apply(length), "_d long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary, kept_text string")
     return out.select(id_of().alias(id_col), "n_bytes", "spans", "kept", "kept_text")
 
@@ -219,7 +219,10 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     key = keyed(docs, id_col, text_col, unique)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("_t"), F.col(text_col).alias("_x"), F.struct(*docs.columns).alias("_row"))
     rows = rows.withColumn("_row", F.col("_row").dropFields(text_col)) if len(docs.columns) > 1 else rows
-    final = rows.join(_repeated(key, length).hint("shuffle_hash"), ["_d", "_t"], "left").select("_d", "_t", "_x", "runs", "_row")
+    before = staged_so_far()
+    gone = staged(_repeated(key, length), "suffix-repeated")
+    drop_staged(docs.sparkSession, before, but_last=1)
+    final = rows.join(gone, ["_d", "_t"], "left").select("_d", "_t", "_x", "runs", "_row")
     apply, others = _apply(length), [c for c in docs.columns if c != text_col]
     kind = final.schema["_row"].dataType
 
@@ -239,7 +242,7 @@ def _repeated(texts: DataFrame, length: int) -> DataFrame:
     first = staged(_sorted_groups(map_batches(texts.filter(F.octet_length("_x") >= length), _first_digit(length), ROWS), False), "suffix-runs")
 
     def with_text(runs: DataFrame) -> DataFrame:
-        return texts.join(_by_document(runs, "s", "w", "r").hint("shuffle_hash"), ["_d", "_t"]).select("_d", "_t", "_x", "runs")
+        return texts.join(_by_document(runs, "s", "w", "r"), ["_d", "_t"]).select("_d", "_t", "_x", "runs")
 
     second = _sorted_groups(map_batches(with_text(first.filter(F.col("f") == OPEN)), _second_digit(length), ROWS), False)
     third = _sorted_groups(map_batches(with_text(second.filter(F.col("f") == OPEN)), _third_digit(length), ROWS), True)

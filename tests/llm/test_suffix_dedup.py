@@ -122,3 +122,30 @@ def test_last_digit_of_hot_groups(monkeypatch):
                 want.add((d, s))
             seen.add(b[s : s + L])
     assert got == want
+
+
+def test_hot_prefix_over_several_partitions(spark):
+    """Pairs of documents that share a phrase with all others and then go on in a way of their own; partitions are not coalesced."""
+    r = random.Random(13)
+    phrase = words(r, 40)[:90]
+    rows = []
+    for k in range(400):
+        own = f"{k:04d}" + words(random.Random(k), 40)[:66]
+        rows += [(k, f"{phrase}{own} first {k}"), (400 + (k * 7) % 400, f"other {k} {phrase}{own}")]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_equals_sql(spark):
+    from oracle import same
+
+    from seshat.llm.queries import SQL, op2_suffix_dedup
+
+    d = "/root/testdata/sf0.001"
+    assert same(op2_suffix_dedup(spark, d), SQL["op2_suffix_dedup"], d) is None
