@@ -1,13 +1,15 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
-A text becomes lower-case words with single spaces. Each rule is a regular expression on them with a keyword that must
-occur first, a priority and a label. Rules are made from a table of licences and four templates: an SPDX tag, a grant
-("licensed under ..."), a name with a version, and a bare name; a detection that lies within another one of equal or
-higher priority is suppressed, so "GNU Lesser General Public License, version 3" is not also the plain "GPL".
-
-Detections are rows: the rules whose keyword occurs are exploded for the few texts that pass a first gate, matches get
-their place by a running sum, and suppression is a running maximum over intervals in order, per priority. Nothing is
-compared pairwise, and a text with very many detections is sorted by Spark, not held in one row.
+A text becomes words in lower case (A-Z) with single spaces. Each rule (see license_rules) is a hand-written regular
+expression on them with a keyword that every match holds, a priority and a label; a detection that lies within another
+one of equal or higher priority is suppressed, so "GNU Lesser General Public License, version 3" is not also the plain
+"GPL".
+
+A text is tried only if it holds one of a few gate words, and a rule only where its keyword occurs; this is part of the
+scan over the documents, spread as they are, with every pattern a constant that is compiled once. What goes on is the few
+texts with a match and the numbers of their rules. Detections are rows: matches get their place by a running sum, and
+suppression is a running maximum over intervals in order, per priority. Nothing is compared pairwise, and a text with
+very many detections is sorted by Spark, not held in one row.
 """
 
 from __future__ import annotations
@@ -16,92 +18,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
+from .license_rules import GATES, rules
 
-# Licences as (label, keyword, name as a pattern of words, SPDX stem, versions).
-LICENCES = [
-    ("apache", "apache", "apache(?: software)?(?: public)? licen[cs]es?", "apache", "1.0 1.1 2.0"),
-    ("gpl", "general public", "(?:gnu )?general public licen[cs]es?", "gpl", "1.0 2.0 3.0 2 3"),
-    ("gpl", "gpl", "(?:gnu )?gpl", "gpl", "1.0 2.0 3.0 2 3"),
-    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public licen[cs]es?", "lgpl", "2.0 2.1 3.0 2 3"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", "lgpl", "2.0 2.1 3.0 2 3"),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[cs]es?", "agpl", "1.0 3.0 3"),
-    ("agpl", "agpl", "(?:gnu )?agpl", "agpl", "1.0 3.0 3"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation licen[cs]es?", "gfdl", "1.1 1.2 1.3"),
-    ("mpl", "mozilla", "mozilla public licen[cs]es?", "mpl", "1.0 1.1 2.0"),
-    ("mpl", "mpl", "mpl", "mpl", "1.0 1.1 2.0"),
-    ("epl", "eclipse", "eclipse public licen[cs]es?", "epl", "1.0 2.0"),
-    ("cddl", "cddl", "cddl", "cddl", "1.0 1.1"),
-    ("cddl", "common development", "common development and distribution licen[cs]es?", "cddl", "1.0 1.1"),
-    ("cpl", "common public", "common public licen[cs]es?", "cpl", "1.0"),
-    ("ipl", "ibm", "ibm public licen[cs]es?", "ipl", "1.0"),
-    ("eupl", "eupl", "eupl", "eupl", "1.0 1.1 1.2"),
-    ("eupl", "european union", "european union public licen[cs]es?", "eupl", "1.0 1.1 1.2"),
-    ("osl", "open software", "open software licen[cs]es?", "osl", "1.0 2.0 2.1 3.0"),
-    ("afl", "academic free", "academic free licen[cs]es?", "afl", "1.1 2.0 2.1 3.0"),
-    ("artistic", "artistic", "artistic licen[cs]es?", "artistic", "1.0 2.0"),
-    ("psf", "python software", "python software foundation licen[cs]es?", "psf", "2.0 2"),
-    ("zpl", "zope", "zope public licen[cs]es?", "zpl", "1.1 2.0 2.1"),
-    ("ofl", "open font", "(?:sil )?open font licen[cs]es?", "ofl", "1.0 1.1"),
-    ("lppl", "latex", "latex project public licen[cs]es?", "lppl", "1.0 1.1 1.2 1.3"),
-    ("boost", "boost", "boost software licen[cs]es?", "bsl", "1.0"),
-    ("cecill", "cecill", "cecill(?: free software)?(?: licen[cs]es?)?", "cecill", "1.0 1.1 2.0 2.1"),
-    ("bsd", "bsd", "bsd(?: style)?(?: licen[cs]es?)?", "bsd", "0 1 2 3 4"),
-    ("mit", "mit", "mit licen[cs]es?", "mit", ""),
-    ("isc", "isc", "isc licen[cs]es?", "isc", ""),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[cs]es?", "zlib", ""),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl", "1 2"),
-    ("openssl", "openssl", "openssl licen[cs]es?", "openssl", ""),
-    ("postgresql", "postgresql", "postgresql licen[cs]es?", "postgresql", ""),
-    ("php", "php", "php licen[cs]es?", "php", "3.0 3.01"),
-    ("ruby", "ruby", "ruby licen[cs]es?", "ruby", ""),
-    ("ms-pl", "microsoft", "microsoft public licen[cs]es?", "ms pl", ""),
-    ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]es?", "ms rl", ""),
-    ("odbl", "open database", "open database licen[cs]es?", "odbl", "1.0"),
-    ("cc0", "cc0", "cc0", "cc0", "1.0"),
-    ("cc-by", "by", "cc by", "cc by", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", "by", "cc by sa", "cc by sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", "by", "cc by nd", "cc by nd", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", "by", "cc by nc", "cc by nc", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-sa", "by", "cc by nc sa", "cc by nc sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-nd", "by", "cc by nc nd", "cc by nc nd", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by", "commons", "creative commons attribution(?: licen[cs]es?)?", "", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: licen[cs]es?)?", "", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?(?: licen[cs]es?)?", "", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: licen[cs]es?)?", "", "1.0 2.0 2.5 3.0 4.0"),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain", "", ""),
-    ("reserved", "rights reserved", "all rights reserved", "", ""),
-    ("proprietary", "proprietary", "proprietary and confidential", "", ""),
-]
-
-# The base phrases, and what a text must hold for any rule to apply.
+# The base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-GATES = ["licen", "spdx", "reserved", "gpl", "public domain", " cc ", " cc0 ", "creative commons", "proprietary", " mpl ", " cddl ", " eupl ", " bsd ", "cecill", "wtfpl"]
-GRANT = "(?:licen[cs]ed|released|distributed|published|available|provided|redistributed)(?: to you)? under(?: the)?(?: terms(?: and conditions)? of(?: the)?)?"
-
-
-def rules() -> list[tuple[int, str, str, int, str]]:
-    """(number, keyword, pattern, priority, label), in order."""
-    out = []
-    for label, keyword, name, spdx, versions in LICENCES:
-        for v in versions.split():
-            words = v.replace(".", " ") + ("" if "." in v else "(?! \\d )")
-            full = f"(?:version |v ?|clause )?{words}(?: clause)?(?: only| or(?: any)? later)?"
-            tag = f"{label}-{v}"
-            if spdx:
-                out.append((keyword if keyword in spdx.split() else spdx.split()[0], f"spdx licen[cs]e identifier {spdx} {words}(?: only| or later| clause)?", 4, tag))
-            out.append((keyword, f"{GRANT} {name} {full}", 3, tag))
-            out.append((keyword, f"{name} {full}", 2, tag))
-        if spdx and not versions:
-            out.append((spdx.split()[0], f"spdx licen[cs]e identifier {spdx}", 4, label))
-        out.append((keyword, f"{GRANT} {name}", 2, label))
-        out.append((keyword, name, 1, label))
-    return [(i, *r) for i, r in enumerate(out)]
+PRIORITIES = range(1, 6)
+
+
+def _whole(pattern: str) -> str:
+    """The pattern at whole words."""
+    return f"(?<= )(?:{pattern})(?= )"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words with a space before, between and after; a single space for none."""
-    return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")))
+    """Words in lower case with a space before, between and after; a single space for none.
+
+    The two letters outside A-Z whose lower case has A-Z in it are put out of its way."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u0137"))
+    return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(F.lower(plain), F.lit(" ")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")))
 
 
 def _spaces(c: Column) -> Column:
@@ -140,21 +74,23 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_compact(F.array(*(F.when(has, label) for label, has, *_ in found))).alias("base"),
         F.when(gate, norm).alias("w"),
     )
+    tried = F.array_compact(F.array(*(F.when(F.contains(norm, F.lit(k)) & norm.rlike(_whole(p)), i) for i, k, p, _, _ in rules())))
+    rows = rows.withColumn("rules", F.when(norm.isNotNull(), tried)).withColumn("w", F.when(F.size("rules") > 0, norm))
     rows = staged(rows, "license-words")
-    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(q).alias("priority"), F.lit(label).alias("label")) for i, k, p, q, label in rules()))
-    tried = rows.filter(F.col("w").isNotNull()).select("r", "w", F.explode(F.filter(table, lambda x: F.contains(F.col("w"), x["keyword"]))).alias("x"))
+    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(_whole(p)).alias("pattern"), F.lit(q).alias("priority"), F.lit(label).alias("label")) for i, _, p, q, label in rules()))
+    tried = rows.filter(F.col("w").isNotNull()).select("r", "w", F.explode("rules").alias("rule")).select("r", "w", F.get(table, F.col("rule")).alias("x"))
     hits = tried.select("r", "x", F.split("w", F.col("x.pattern"), -1).alias("between"), F.expr("regexp_extract_all(w, x.pattern, 0)").alias("match")).filter(F.size("match") > 0)
     each = hits.select("r", "x", F.posexplode(F.arrays_zip(F.slice("between", 1, F.size("match")).alias("between"), F.col("match").alias("match"))).alias("n", "m"))
     size, gap = F.length("m.match"), F.length("m.between")
     so_far = Window.partitionBy("r", "x.rule").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     spans = each.select("r", "x.rule", "x.priority", "x.label", (F.sum(size + gap).over(so_far) - size).alias("start"), F.sum(size + gap).over(so_far).alias("end"))
     above = Window.partitionBy("r").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    for q in range(1, 5):
+    for q in PRIORITIES:
         spans = spans.withColumn(f"upto{q}", F.max(F.when(F.col("priority") >= q, F.col("end"))).over(above))
-    within = F.coalesce(F.coalesce(*(F.when(F.col("priority") == q, F.col(f"upto{q}")) for q in range(1, 5))) >= F.col("end"), F.lit(False))
+    within = F.coalesce(F.coalesce(*(F.when(F.col("priority") == q, F.col(f"upto{q}")) for q in PRIORITIES)) >= F.col("end"), F.lit(False))
     detected = spans.filter(~within).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("start", "end", "priority", "label"))).alias("detections"), F.sum("priority").alias("weight"))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.transform("detections", lambda x: x["label"]), F.array().cast("array<string>")))))
-    return rows.drop("w").join(detected, "r", "left").select(
+    return rows.drop("w", "rules").join(detected, "r", "left").select(
         F.col("d").alias(id_col),
         "n_words",
         "n_base",

@@ -15,10 +15,8 @@ def slow(text):
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     norm = " " + " ".join(words) + " " if words else " "
     spans = []
-    if any(g in norm for g in m.GATES):
-        for i, k, rx, q, label in RULES:
-            if k in norm:
-                spans += [(x.start(), -x.end(), -q, i, label) for x in rx.finditer(norm)]
+    for i, _, rx, q, label in RULES:  # without gates and keywords
+        spans += [(x.start(), -x.end(), -q, i, label) for x in rx.finditer(norm)]
     spans.sort()
     kept = [s for n, s in enumerate(spans) if not any(-o[1] >= -s[1] and -o[2] >= -s[2] for o in spans[:n])]
     base = {b for _, b in places}
@@ -31,11 +29,57 @@ def run(spark, rows):
     return sorted(((r.doc_id, (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels)) for r in got), key=lambda x: (x[0] is None, x[0] or 0))
 
 
+def examples(tree):
+    """Strings that a parsed pattern matches: every branch, every optional part there or not, others once or thrice."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x[1]) if str(x[0]) == "LITERAL" else {"CATEGORY_DIGIT": "3", "CATEGORY_WORD": "w"}[str(x[1])] for x in arg]
+        elif name == "BRANCH":
+            more = [x for b in arg[1] for x in examples(b)]
+        elif name == "SUBPATTERN":
+            more = examples(arg[3])
+        elif name == "MAX_REPEAT":
+            low, high, sub = arg
+            more = sorted({"".join([x] * n) for x in examples(sub) for n in {low, min(high, max(low, 1))}})
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
 def test_rules_are_many_and_valid():
-    assert len(RULES) > 200
+    assert len({r[2].pattern for r in RULES}) == len(RULES) > 250
     assert len({r[4] for r in RULES}) > 100
 
 
+def test_every_match_holds_a_gate_and_the_keyword():
+    import re._parser as parser
+
+    for _, keyword, pattern, _, _ in m.rules():
+        for x in examples(parser.parse(pattern)):
+            assert re.fullmatch(pattern, x), (pattern, x)
+            assert keyword in x, (keyword, x)
+            assert any(g in f" {x} " for g in m.GATES), x
+
+
+def test_every_rule_detects(spark):
+    import re._parser as parser
+
+    rows = [(i, f"Before it, {examples(parser.parse(p))[0]}. After") for i, _, p, _, _ in m.rules()]
+    got = run(spark, rows)
+    assert got == sorted((i, slow(x)) for i, x in rows)
+    assert all(r[1][5] for r in got)
+
+
+def test_lower_case_is_a_to_z_only(spark):
+    rows = [(1, "L\u0130CENSED BSD \u212a WTFPL"), (2, "m\u0130t license"), (3, "word " * 300_000 + "MIT License")]
+    assert run(spark, rows) == sorted((i, slow(x)) for i, x in rows)
+
+
 def test_matches_brute_force(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0."),
