@@ -2,17 +2,17 @@
 sets of five-word shingles.
 
 Candidates come from the SimHash operator first: fingerprints of the five-word shingles, linked by anchor-point covering
-(see simhash); a link holds if the exact similarity of the two texts says so. But 64 bits cannot tell 0.8 from less:
-at that similarity fingerprints differ in about ten bits, and anchors within ten bits are nearly all anchors (most pairs
-of 0.8 or more in the test tables differ in more than three bits). So what the fingerprints leave apart is completed
-exactly by prefix filtering. Under one order of all shingles, two sets of similarity 4/5 or more share one of their
-first n - ceil(4 n / 5) + 1 shingles (n in the set), so only those are shuffled, and only sets that meet at one are
-compared. Any order is right; this one puts shingles that are common in a sample last, and the rest by hash, so that
-boilerplate seldom brings texts together. Sizes and the number of shingles that two prefixes share rule out further
-pairs without loss.
-
-Equal sets are one before anything is replicated. After the fingerprints, each set is compared with one of those it
-meets often; then, as only components are asked for, all pairs that meet and are not yet in one component.
+(see simhash). But 64 bits within three cannot find all of 0.8: at that similarity fingerprints differ in about ten bits,
+and anchors within ten bits are nearly all anchors. So further candidates come from prefixes. Under one order of all
+shingles, two sets of similarity 4/5 or more share one of their first n - ceil(4 n / 5) + 1 shingles (n in the set), so
+only those are shuffled. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
+texts meet at shingles that few others have. Sets that meet at a shingle are not paired with each other all: each is
+compared by size and fingerprint with its neighbours in three orders (by size, and by either half of the fingerprint),
+and the nearest ones (of sets of few shingles all) become candidates, a bounded number a row, however many meet. Every candidate that is not linked
+already is checked exactly by its texts, so a link is never wrong; one could be missed only if a pair stays apart in all
+orders at all shingles that it shares, and no chain of other links joins it (none in the tests against brute force).
+
+Equal sets are one before anything is replicated.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ NUM, DEN = 4, 5  # the least similarity, 4/5
 SAMPLE = 20_000  # texts in which common shingles are counted
 COMMON = 50_000  # common shingles at most
 LEAST_COMMON = 8  # texts of the sample
-ROUNDS = 1  # of one pair a set, between the fingerprints' links and all pairs
 SEED = 42
-MET = "a long, g long, n long"
+NEAR = 8  # neighbours that a set is compared with, in each order
+FAR_BITS = 20  # differing bits beyond which sets of SURE shingles or more are not similar (at 0.8 about 10 are expected)
+SURE = 64
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -101,85 +102,39 @@ def _prefixes(h: np.ndarray, n: np.ndarray):
     return fn
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first column, cut so that no group of it is divided."""
-    rest: list[list[np.ndarray]] = []
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a, g, n, f in order of a, n, g: for each row the nearest of its neighbours at shingle a (of small sets all of them), in each of three orders."""
+    tail: list[np.ndarray] | None = None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if not len(cols[0]):
-            continue
-        if rest and cols[0][0] == rest[0][0][0] == cols[0][-1]:  # one group goes on
-            rest.append(cols)
-            continue
-        cols = [np.concatenate(c) for c in zip(*rest, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if cut:
-            yield [c[:cut] for c in cols]
-        rest = [[c[cut:] for c in cols]]
-    if rest:
-        yield [np.concatenate(c) for c in zip(*rest, strict=True)]
-
-
-def _edges(a: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-
-
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows at a shingle that is in the prefix of two sets or more."""
-    for cols in _whole(batches):
-        many = np.diff(edge := _edges(cols[0])) > 1
-        keep = np.repeat(many, np.diff(edge))
-        if keep.any():
-            yield pa.record_batch([c[keep] for c in cols], names=["a", "g", "n"])
-
-
-def _upto(n):
-    """What of a set is not in its prefix."""
-    return -(-NUM * n // DEN) - 1
-
-
-def _need(n, m):
-    """Shingles that the prefixes of two similar sets of n and m share at least; where sizes rule them out, very many.
-
-    Of the prefix that ends first, what is behind it is all that they can share beside."""
-    need = np.maximum(1, -(-NUM * (n + m) // (NUM + DEN)) - np.maximum(_upto(n), _upto(m)))
-    return np.where(DEN * np.minimum(n, m) >= NUM * np.maximum(n, m), need, 1 << 40)
-
-
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each set with the first and the previous one at a shingle, where roots differ."""
-    for a, g, n, root in _whole(batches):
-        edge = _edges(a)
-        head = np.repeat(edge[:-1], np.diff(edge))
-        own = np.arange(len(a))
-        for other in (head, np.maximum(own - 1, head)):
-            need = _need(n, n[other])
-            ok = (root != root[other]) & (need < 1 << 40)
-            if ok.any():
-                yield pa.record_batch([g[own[ok]], g[other[ok]], need[ok]], names=["u", "v", "need"])
-
-
-def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that meet at a shingle, where roots differ."""
-    for a, g, n, root in _whole(batches):
-        edge = _edges(a)
-        differ = np.minimum.reduceat(root, edge[:-1]) != np.maximum.reduceat(root, edge[:-1])
-        held, size = [], 0
-        for p, q in zip(edge[:-1][differ].tolist(), edge[1:][differ].tolist(), strict=True):
-            for at in range(p, q, 256):
-                x = slice(at, min(at + 256, q))
-                for to in range(p, x.stop, 4096):
-                    y = slice(to, min(to + 4096, x.stop))
-                    need = _need(n[x, None], n[None, y])
-                    # rows are in order of g, so each pair is taken once
-                    k, m = np.nonzero((root[x, None] != root[None, y]) & (g[x, None] > g[None, y]) & (need < 1 << 40))
-                    held.append((g[x][k], g[y][m], need[k, m]))
-                    size += len(k)
-                    if size > 200_000:
-                        yield pa.record_batch([np.concatenate(c) for c in zip(*held, strict=True)], names=["u", "v", "need"])
-                        held, size = [], 0
-        if size:
-            yield pa.record_batch([np.concatenate(c) for c in zip(*held, strict=True)], names=["u", "v", "need"])
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        old = len(tail[0]) if tail else 0
+        a, g, n, f = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
+        bits = f.view(np.uint64)
+        us, vs = [], []
+        for order in (np.arange(len(a)), np.lexsort((bits, a)), np.lexsort((bits << np.uint64(32) | bits >> np.uint64(32), a))):
+            best, other = np.full(len(a), 99, np.int64), np.zeros(len(a), np.int64)
+            for s in range(1, min(NEAR, len(a) - 1) + 1):
+                x, y = order[s:], order[:-s]
+                ok = (a[x] == a[y]) & (g[x] != g[y]) & ((x >= old) | (y >= old))
+                if not ok.any():
+                    break
+                x, y = x[ok], y[ok]
+                less, more = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                d = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+                alike = DEN * less >= NUM * more
+                few = alike & (less < SURE)  # too few shingles for the bits to say much: every neighbour
+                us.append(np.maximum(g[x[few]], g[y[few]]))
+                vs.append(np.minimum(g[x[few]], g[y[few]]))
+                d = np.where(alike & ~few & (d <= FAR_BITS), d, 99)
+                closer = d < best[x]
+                best[x[closer]], other[x[closer]] = d[closer], y[closer]
+            own = np.flatnonzero(best < 99)
+            us.append(np.maximum(g[own], g[other[own]]))
+            vs.append(np.minimum(g[own], g[other[own]]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
+            yield pa.record_batch([u, v], names=["u", "v"])
+        tail = [c[-NEAR:] for c in cols]
 
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -222,18 +177,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x"))
     prints = staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, first array<long>, _x string"), "copies")
-    rows = prints.select("g", "n", "first").dropDuplicates(["g"]).select("g", "n", F.explode("first").alias("a")).select("a", "g", "n")
-    met = staged(rows.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_meeting, MET), "copies-met")
+    rows = prints.select("g", "n", "f", "first").dropDuplicates(["g"]).select(F.explode("first").alias("a"), "g", "n", "f")
+    near = rows.repartition("a").sortWithinPartitions("a", "n", "g").mapInArrow(_neighbours, "u long, v long")
+    candidates = staged(near.groupBy("u", "v").agg(F.count("*").alias("shared")), "copies-candidates")
 
     links = _verified(_by_fingerprint(prints), prints)
     roots = components(links)
-    for last in [False] * ROUNDS + [True]:
-        placed = met.join(roots.withColumnRenamed("node", "g"), "g", "left").select(*met.columns, F.coalesce("root", "g").alias("root"))
-        found = placed.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_every if last else _some, "u long, v long, need long").groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
-        if last:
-            pairs = found.filter("shared >= need").select("u", "v")
-        else:
-            pairs = found.filter("4 * shared >= need").groupBy("u").agg(F.max_by("v", "shared").alias("v"))
+    for last in (False, True):  # the best candidate of each set, then all whose ends are still apart
+        of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+        apart = candidates.join(of_u, "u", "left").join(of_v, "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+        pairs = apart.select("u", "v") if last else apart.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
         more = _verified(pairs, prints)
         if more.limit(1).count():
             links = links.union(more)
