@@ -141,10 +141,11 @@ def batch_vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str
     """query_id, key and distance of the k nearest vectors of each row of queries (query_id, embedding).
 
     The queries are a stated set and go over the vectors in blocks; each batch of vectors gives its k best per query,
-    and the best of those remain.
+    and the best of those remain, ties by key as in exact_topk. Zero vectors have no distance.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     n = max(1, -(-queries.count() // block))
     kind, out = vectors.schema[key].dataType.simpleString(), None
@@ -158,16 +159,17 @@ def batch_vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str
         def fn(batches, ids=ids, q=q):
             for b in batches:
                 m = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, q.shape[1])
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                d = 1 - q @ m.T
-                keys = b.column(0).to_pylist()
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                size = np.linalg.norm(m, axis=1)
+                m, b = m[size > 0] / size[size > 0, None], b.filter(pa.array(size > 0))  # a zero vector has no distance
+                place = pc.sort_indices(b.column(0)).to_numpy()  # ties by key
+                m, keys = m[place], b.column(0).take(pa.array(place)).to_pylist()
+                top = np.argsort((d := 1 - q @ m.T).round(12), axis=1, kind="stable")[:, :k]
                 yield pa.record_batch([pa.array(np.repeat(ids, top.shape[1])), pa.array([keys[j] for j in top.ravel()], b.schema.field(0).type), pa.array(np.take_along_axis(d, top, 1).ravel())], names=["query_id", key, "distance"])
 
         rows = vectors.filter("embedding is not null")
         best = rows.select(key, "embedding").mapInArrow(fn, f"query_id long, {key} {kind}, distance double")
         out = best if out is None else out.unionByName(best)
-    w = Window.partitionBy("query_id").orderBy("distance", key)
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), key)
     return out.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 
 

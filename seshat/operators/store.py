@@ -61,7 +61,12 @@ def ingest(spark: SparkSession, cfg: Config, version: str, now: int) -> int:
     changed = ledgers.changed_sessions(found, old).withColumnRenamed("session_id", "_dir")
     if not changed.limit(1).count():
         return 0
-    got = normalize(archive.generation_lines(gens.withColumn("_dir", F.concat_ws("/", "project", "session")).join(changed, "_dir", "left_semi").drop("_dir")))
+    # what this pass takes is written down first: a capture meanwhile waits for the next pass, with a fingerprint of its own
+    taken = f"{cfg.store}/_taken-{version}"
+    gens.withColumn("_dir", F.concat_ws("/", "project", "session")).join(changed, "_dir").write.mode("overwrite").parquet(taken)
+    pending = spark.read.parquet(taken)
+    changed = pending.select("_dir", "fingerprint").distinct()
+    got = normalize(archive.generation_lines(pending.drop("_dir", "fingerprint")))
     session = got["session"]
     by_id = session.select("session_id", F.concat_ws("/", "project", "session_dir").alias("_dir"))
     for name, schema in RECORDS.items():

@@ -56,11 +56,11 @@ _SESSION = "SELECT DISTINCT session_id, 'p' || CAST(CAST(substr(session_id, 2) A
 
 def artifact(spark: SparkSession, d: str) -> DataFrame:
     """documents as artifacts of the events of conversations (uuid doc_id % 50), with code lines put before the text."""
-    code = F.concat(F.lit("pub async fn f"), F.col("doc_id").cast("string"), F.lit("() {\n  run --fast x  \nplain\nclassy thing\n  def g(x):\n"), F.substring("text", 1, 200))
+    code = F.concat(F.lit("pub async fn f"), F.col("doc_id").cast("string"), F.lit("() {\n  run --fast x  \nplain\nclassy thing\n  def g(x):\n"), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("artifact_id"), F.col("lang").alias("language"), F.col("source").alias("path"), code.alias("content"), (F.col("doc_id") % 50).cast("string").alias("source_event_uuid"), (F.col("doc_id") % 70).cast("string").alias("request_bundle"), "doc_id")
 
 
-_ARTIFACT = "SELECT 'a' || CAST(doc_id AS VARCHAR) AS artifact_id, lang AS language, source AS path, 'pub async fn f' || CAST(doc_id AS VARCHAR) || '() {' || chr(10) || '  run --fast x  ' || chr(10) || 'plain' || chr(10) || 'classy thing' || chr(10) || '  def g(x):' || chr(10) || substr(text, 1, 200) AS content, CAST(doc_id % 50 AS VARCHAR) AS source_event_uuid, CAST(doc_id % 70 AS VARCHAR) AS request_bundle, doc_id FROM documents"
+_ARTIFACT = "SELECT 'a' || CAST(doc_id AS VARCHAR) AS artifact_id, lang AS language, source AS path, 'pub async fn f' || CAST(doc_id AS VARCHAR) || '() {' || chr(10) || '  run --fast x  ' || chr(10) || 'plain' || chr(10) || 'classy thing' || chr(10) || '  def g(x):' || chr(10) || coalesce(text, '') AS content, CAST(doc_id % 50 AS VARCHAR) AS source_event_uuid, CAST(doc_id % 70 AS VARCHAR) AS request_bundle, doc_id FROM documents"
 
 
 def fts(spark: SparkSession, d: str) -> DataFrame:

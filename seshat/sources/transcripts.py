@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def archive_key(path: Column, root: str) -> dict[str, Column]:
     """project, session and sub_path of a transcript under <root>/projects, null for paths that are none."""
-    rel = F.regexp_extract(path, "^.*?" + "/projects/(.*?)(?:\\.jsonl)?$", 1)
+    under = re.sub(r"^\w+:/*", "/", root).rstrip("/")
+    rel = F.regexp_extract(path, f"^.*?\\Q{under}\\E/projects/(.*?)(?:\\.jsonl)?$", 1)
     parts = F.split(rel, "/")
     safe = (F.size(parts) >= 2) & ~F.exists(parts, lambda s: s.isin("", ".", "..") | F.contains(s, F.lit("\\")))
     return {"project": F.when(safe, parts[0]), "session": F.when(safe, parts[1]), "sub_path": F.when(safe, F.array_join(F.slice(parts, 3, 1_000_000), "/"))}

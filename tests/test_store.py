@@ -20,7 +20,7 @@ def line(kind, uuid, content, **more):
 
 PARENT = [
     json.dumps({"type": "ai-title", "sessionId": "S1", "aiTitle": "Widgets"}),
-    line("user", "u1", f"Please deploy_widget with {KEY}", gitBranch="main", version="9"),
+    line("user", "u1", f"Please launch_gadget with {KEY}", gitBranch="main", version="9"),
     line("assistant", "u2", [{"type": "thinking", "thinking": "hmm"}, {"type": "text", "text": "Sure:\n```py\ndef f():\n  pass\n```\n"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"file_path": "/repo/main.rs"}}]),
     line("user", "u3", [{"type": "tool_result", "tool_use_id": "t1", "content": "SKELETON_MARK body", "is_error": False}]),
     line("assistant", "u4", [{"type": "tool_use", "id": "t2", "name": "Bash", "input": {"command": "A=1 cargo test <<EOF\none\ntwo\nEOF"}}, {"type": "tool_use", "id": "t3", "name": "Write", "input": {"file_path": "/repo/Notes.TXT", "content": "l1\nl2"}}, {"type": "tool_use", "id": "t4", "name": "Task", "input": {"subagent_type": "scout"}}]),
@@ -51,7 +51,7 @@ def test_capture_ingest_search_resolve(spark, cfg, tmp_path):
     assert (s.session_id, s.project, s.title, s.git_branch, s.started_at[-3:]) == ("S1", "proj", "Widgets", "main", "01Z")
     assert s.archive_refs == ["0000", "subagents/agent-1/0000"]
     e = {(r.uuid, r.kind): r for r in t["event"].collect()}
-    assert e["u1", "text"].text == "Please deploy_widget with [REDACTED]" and ("u5", "text") not in e and ("u6", "text") not in e
+    assert e["u1", "text"].text == "Please launch_gadget with [REDACTED]" and ("u5", "text") not in e and ("u6", "text") not in e
     assert e["u2", "text"].text.startswith("Sure") and e["u2", "thinking"].text is None and e["u2", "thinking"].grain == "skeleton"
     assert e["u2", "tool_use"].text == "/repo/main.rs" and e["u3", "tool_result"].tool_name == "Read" and e["u3", "tool_result"].is_error is False
     assert e["u7", "tool_result"].tool_name is None
@@ -65,7 +65,7 @@ def test_capture_ingest_search_resolve(spark, cfg, tmp_path):
     assert "SKELETON_MARK" not in words and KEY not in words
     assert [r.session_id for r in search.exact_listing(t["mention"], "cargo", Filters("command", "proj")).collect()] == ["S1"]
     index = search.build_index(t["fts"], "doc", "content", f"{tmp_path}/index")
-    hit = search.keyword_search(index, t["fts"], "deploy-WIDGET").collect()
+    hit = search.keyword_search(index, t["fts"], "launch-GADGET").collect()
     assert [(h.source_type, h.source_id) for h in hit] == [("event", "u1")]
     assert search.keyword_search(index, t["fts"], " * ").collect() == []
     assert store.resolve(spark, cfg, t, "S1", "event", "u1") == PARENT[1]
