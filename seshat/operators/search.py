@@ -32,28 +32,37 @@ def exact_unordered(mention: DataFrame, entity: str, filters: Filters = Filters(
 
 @dataclass
 class Index:
-    """An inverted index: postings (term, doc, places, length), and the number and mean length of all documents."""
+    """An inverted index: postings (term, doc, places, length), and the number and mean length of all documents.
+
+    only, if set, makes the postings of some terms from the table itself, as nothing is written."""
 
     postings: DataFrame
     documents: int
     mean_length: float
+    only: Callable[[list[str]], DataFrame] | None = None
+
+    def of(self, words: list[str]) -> DataFrame:
+        return self.only(words) if self.only else self.postings.filter(F.col("term").isin(words))
 
 
-def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """term, doc, places (from 0) and the document's length in terms. One shuffle, of terms by document."""
+def postings(docs: DataFrame, key: str, content: str, words: list[str] | None = None) -> DataFrame:
+    """term, doc, places (from 0) and the document's length in terms, of these words or all. One shuffle, of terms by document."""
     cut = docs.select(F.col(key).alias("doc"), fx.terms(F.col(content)).alias("t"))
+    if words is not None:
+        cut = cut.filter(F.arrays_overlap("t", F.array(*map(F.lit, words))) if words else F.lit(False))
     each = cut.select("doc", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
+    each = each if words is None else each.filter(F.col("term").isin(words))
     return each.groupBy("term", "doc").agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("length").alias("length"))
 
 
 def build_index(docs: DataFrame, key: str, content: str, path: str | None = None) -> Index:
     """The index of a table; with a path, written there in order of term and read back."""
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(fx.terms(F.col(content))), F.lit(0))).alias("mean")).first()
+    size = docs.agg(F.count("*").alias("n"), F.avg(fx.term_count(F.col(content))).alias("mean")).first()
     rows = postings(docs, key, content)
     if path:
         rows.repartitionByRange(F.col("term"), F.col("doc")).sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path)
         rows = docs.sparkSession.read.parquet(path)
-    return Index(rows, size["n"], size["mean"] or 0.0)
+    return Index(rows, size["n"], size["mean"] or 0.0, None if path else lambda words: postings(docs, key, content, words))
 
 
 def keyword_hits(index: Index, query: str) -> DataFrame:
@@ -63,7 +72,7 @@ def keyword_hits(index: Index, query: str) -> DataFrame:
     """
     phrases = fx.query_phrases(query)
     words = sorted({w for p in phrases for w in p})
-    rows = index.postings.filter(F.col("term").isin(words))
+    rows = index.of(words)
     per = rows.groupBy("doc").agg(F.first("length").alias("length"), *(F.first(F.when(F.col("term") == w, F.col("places")), ignorenulls=True).alias(f"t{i}") for i, w in enumerate(words)))
     counts = []
     for k, p in enumerate(phrases):
