@@ -2,25 +2,29 @@
 
 The content view sees what a text is made of (shares of letters, capitals, digits, symbols, repeated words ...), the
 metadata view what is known of its page (language, source, length, layout in lines). Each has a logistic classifier,
-first learned from the labelled rows. In each round a classifier labels the pool rows it is surest of (beyond
-CONFIDENT) and hands them to the other view, which learns from them at half weight. In the end each view's logit is
-calibrated, and both are combined, by logistic regression on labelled rows kept out of the rounds.
-
-The classifiers are learned on bounded samples: at most LABELLED labelled rows (never held-out ones) and POOL others.
+first learned from the labelled rows. In each round it labels all unlabelled rows it is sure of (beyond CONFIDENT) and
+hands them to the other view, which takes a Newton step on labelled and handed rows together; the handed rows weigh half
+a labelled row each, and together at most half of all labelled rows. In the end each view's logit is calibrated, and both
+are combined, by logistic regression on labelled rows kept out of the rounds.
+
+Labelled rows are a bounded sample of at most LABELLED (never held-out ones). The unlabelled rows are all that are not
+held out: a round sums their gradients and Hessians where they are, and the driver gets one matrix per view. The numbers
+of both views are written once, so the texts are read once.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_batches
+from .common import bounded_sample, held_out, map_batches, staged
 
-LABELLED, POOL = 20_000, 20_000
+LABELLED = 20_000
 ROUNDS = 4
 CONFIDENT = 0.95
 HASHED = 32  # numbers for languages and sources together
@@ -68,6 +72,22 @@ class Logistic:
         self.b = b
         return self
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient, Hessian and number of rows, flat: sums over rows, so those of parts add up."""
+        z = np.hstack([np.clip((x - self.mean) / self.scale, -20, 20), np.ones((len(x), 1))])
+        p = 1 / (1 + np.exp(-np.clip(z @ self.b, -30, 30)))
+        return np.concatenate([z.T @ (y - p), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel(), [float(len(y))]])
+
+    def step(self, total: np.ndarray, ridge: float = 1.0) -> Logistic:
+        """The classifier one Newton step on, from (weighted) sums; steps are rounded, as the order of a sum is left to Spark."""
+        n = len(self.b)
+        penalty = np.eye(n) * ridge
+        penalty[-1, -1] = 1e-6
+        out = Logistic()
+        out.mean, out.scale = self.mean, self.scale
+        out.b = np.round(self.b + np.clip(np.linalg.solve(total[n:-1].reshape(n, n) + penalty, total[:n] - penalty @ self.b), -5, 5), 8)
+        return out
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -20, 20)
         return np.clip(z @ self.b[:-1] + self.b[-1], -30, 30)
@@ -77,29 +97,23 @@ class Logistic:
 
 
 class CoTrained:
-    """Both views' classifiers and the combination. views: content and metadata matrices."""
+    """Both views' classifiers and the combination. views: content and metadata matrices of the labelled rows.
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
+    `handed` takes the two classifiers and gives, for each, the sums over the rows that the other one is sure of.
+    """
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, handed: Callable[[list[Logistic]], list[np.ndarray]]):
         self.constant = None
         if len(y) < 10 or len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return
         kept = np.arange(len(y)) % 5 == 0  # for the calibration
-        train = [(v[~kept], y[~kept], np.ones(int((~kept).sum()))) for v in views]
-        left = np.ones(len(pool[0]), bool)
+        train = [(v[~kept], y[~kept]) for v in views]
         self.views = [Logistic().fit(*t) for t in train]
         for _ in range(ROUNDS):
-            given = []
-            for k in (0, 1):
-                p = self.views[k].prob(pool[k])
-                sure = np.flatnonzero(left & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT)))
-                sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(1, len(pool[0]) // (2 * ROUNDS))]
-                given.append((sure, (p[sure] > 0.5).astype(float)))
-            for k, (rows, label) in enumerate(reversed(given)):  # what the other view was sure of
-                x, t, w = train[k]
-                train[k] = (np.vstack([x, pool[k][rows]]), np.append(t, label), np.append(w, np.full(len(rows), 0.5)))
-                left[rows] = False
-            self.views = [Logistic().fit(*t) for t in train]
+            others = handed(self.views)
+            weights = [min(0.5, 0.5 * len(t) / max(1.0, o[-1])) for (_, t), o in zip(train, others, strict=True)]
+            self.views = [m.step(m.sums(*t) + w * o) for m, t, w, o in zip(self.views, train, weights, others, strict=True)]
         logits = [m.logit(v[kept]) for m, v in zip(self.views, views, strict=True)]
         self.calibrated = [Logistic().fit(s[:, None], y[kept]) for s in logits]
         self.both = Logistic().fit(np.stack([c.logit(s[:, None]) for c, s in zip(self.calibrated, logits, strict=True)], axis=1), y[kept])
@@ -112,30 +126,70 @@ class CoTrained:
         return self.both.prob(np.stack(own, axis=1)), 1 / (1 + np.exp(-own[0])), 1 / (1 + np.exp(-own[1]))
 
 
-def _views(texts, langs, sources) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([content(x) for x in texts]), np.array([metadata(*x) for x in zip(texts, langs, sources, strict=True)])
+WIDE = len(content("")), len(metadata("", None, None))
 
 
-def _features(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Both views and the labels of rows i, x, lang, source, y: a bounded sample, of which numbers alone are collected."""
+def views(docs: DataFrame) -> DataFrame:
+    """i (doc_id) and the numbers of both views, a and m, of each row of doc_id, text, lang, source."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        a, m = _views(*(b.column(k).to_pylist() for k in (1, 2, 3)))
-        return pa.record_batch([b.column(0), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64())), b.column(4).cast(pa.float64())], names=["i", "a", "m", "y"])
+        texts, langs, sources = (b.column(k).to_pylist() for k in (1, 2, 3))
+        a, m = [content(x) for x in texts], [metadata(*x) for x in zip(texts, langs, sources, strict=True)]
+        return pa.record_batch([b.column(0), pa.array(a, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=["i", "a", "m"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
+    return map_batches(rows, fn, "i long, a array<float>, m array<float>")
+
+
+def _matrices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(b.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, n) for k, n in zip((1, 2), WIDE, strict=True))
+
+
+def _handed(pool: DataFrame, models: list[Logistic]) -> list[np.ndarray]:
+    """For each view the sums over all pool rows that the other view is sure of, added up by Spark."""
+    size = [n + 1 + (n + 1) ** 2 + 1 for n in WIDE]
+
+    def run(batches):
+        total = np.zeros(sum(size))
+        for b in batches:
+            x = _matrices(b)
+            for k, at in ((0, 0), (1, size[0])):
+                p = models[1 - k].prob(x[1 - k])
+                sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+                if sure.any():
+                    total[at : at + size[k]] += models[k].sums(x[k][sure], (p[sure] > 0.5).astype(float))
+        yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "v"])
 
-    got = map_batches(rows, fn, "i long, a array<double>, m array<double>, y double").toPandas().sort_values("i", kind="stable")
-    wide = len(content("")), len(metadata("", None, None))
-    return tuple(np.array(got[c].tolist(), float).reshape(len(got), n) for c, n in zip("am", wide, strict=True)), got["y"].to_numpy()
+    got = pool.select("i", "a", "m").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # a row per place of two matrices
+    total = np.zeros(sum(size))
+    total[got["k"].to_numpy(int)] = got["v"].to_numpy(float)
+    return [total[: size[0]], total[size[0] :]]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """From documents (doc_id, text, lang, source) and labels (doc_id, 0 or 1; other rows are left out) that are not held out."""
-    own = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("x"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).filter(F.col("i").isNotNull() & ~held_out("i"))
-    y = labels.filter(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("i"), F.col(label_col).cast("double").alias("y")).dropDuplicates(["i"]).filter(F.col("i").isNotNull() & ~held_out("i"))
-    views, target = _features(own.join(F.broadcast(bounded_sample(y, "i", most)), "i").select("i", "x", "lang", "source", "y"))  # at most about `most` rows of two numbers
-    others = bounded_sample(own.join(y, "i", "left_anti").select("i"), "i", pool)
-    unlabelled, _ = _features(own.join(F.broadcast(others), "i").select("i", "x", "lang", "source", F.lit(0.0).alias("y")))
-    return CoTrained(views, target, unlabelled)
+def learn_views(rows: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = LABELLED) -> CoTrained:
+    """From `views` and labels (doc_id, 0 or 1; other rows are left out) that are not held out."""
+    own = rows.filter(F.col("i").isNotNull() & ~held_out("i"))
+    y = labels.filter(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("i"), F.col(label_col).cast("double").alias("y")).groupBy("i").agg(F.min("y").alias("y")).filter(F.col("i").isNotNull() & ~held_out("i"))
+    got = own.join(F.broadcast(bounded_sample(y, "i", most)), "i").toPandas()  # at most about `most` rows of numbers
+    got["key"] = [(i, tuple(a), tuple(m)) for i, a, m in zip(got["i"], got["a"], got["m"], strict=True)]
+    got = got.sort_values("key", kind="stable")
+    known = tuple(np.array(got[c].tolist(), float).reshape(len(got), n) for c, n in zip("am", WIDE, strict=True))
+    pool = staged(own.join(y, "i", "left_anti"), "unlabelled")
+    return CoTrained(known, got["y"].to_numpy(float), lambda models: _handed(pool, models))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = LABELLED) -> CoTrained:
+    return learn_views(staged(views(docs), "views"), labels, label_col, most)
+
+
+def score_views(rows: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
+    """`score_quality` of rows whose numbers `views` has written."""
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([b.column(0), *(pa.array(v, pa.float64()) for v in model.score(_matrices(b)))], names=["i", "score", "content_score", "metadata_score"])
+
+    out = map_batches(rows.select("i", "a", "m"), fn, "i long, score double, content_score double, metadata_score double")
+    return out.select(F.col("i").alias("doc_id"), held_out("i").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "content_score", "metadata_score")
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
@@ -144,13 +198,4 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5) ->
     Null texts are scored like empty ones, null languages and sources as a value of their own; null and repeated ids
     like others. Of few labels (under 10, or of one value) the score is their mean, or 0.5. Other columns are ignored.
     """
-
-    def fn(b: pa.RecordBatch):
-        for at in range(0, b.num_rows, 2000):
-            cols = [b.column(k).slice(at, 2000) for k in range(4)]
-            s, a, m = model.score(_views(*(c.to_pylist() for c in cols[1:])))
-            yield pa.record_batch([cols[0], *(pa.array(v, pa.float64()) for v in (s, a, m))], names=["i", "score", "content_score", "metadata_score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
-    out = map_batches(rows, fn, "i long, score double, content_score double, metadata_score double")
-    return out.select(F.col("i").alias("doc_id"), held_out("i").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "content_score", "metadata_score")
+    return score_views(views(docs), model, threshold)

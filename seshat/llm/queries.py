@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, licenses, line_dedup, packing, quality, quality_rules, simhash, suffix_dedup, toxicity
-from .common import documents
+from .common import documents, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality.score_quality(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    views = staged(quality.views(documents(spark, sf_dir)), "views")
+    return quality.score_views(views, quality.learn_views(views, _table(spark, sf_dir, "labels")))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,25 @@ def test_odd_rows(spark):
     got = m.score_quality(df, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert m.score_quality(df.limit(0), model).collect() == []
+
+
+def test_handed_rows_are_all_unlabelled_rows(spark):
+    """The sums that Spark adds up equal those over all rows at once, however the rows are dealt."""
+    import numpy as np
+
+    docs, _ = rows(300)
+    v = m.views(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).orderBy("i").cache()
+    got = v.toPandas()
+    x = [np.array(got[c].tolist(), float) for c in "am"]
+    y = np.array([x[0][i][-2] > 0 for i in range(300)], float)
+    models = [m.Logistic().fit(k, y) for k in x]
+    want = []
+    for k in (0, 1):
+        p = models[1 - k].prob(x[1 - k])
+        sure = (p >= m.CONFIDENT) | (p <= 1 - m.CONFIDENT)
+        want.append(models[k].sums(x[k][sure], (p[sure] > 0.5).astype(float)))
+    assert want[1][-1] > 0
+    for parts in (1, 7):
+        for a, b in zip(m._handed(v.repartition(parts), models), want, strict=True):
+            assert np.allclose(a, b)
+    assert all(not s.any() for s in m._handed(v.limit(0), models))
