@@ -2,7 +2,7 @@
 
 A text is a mixture of languages: each of its letter trigrams comes from language l with a share pi_l and is then drawn
 with p(gram | l). Expectation-maximisation finds the shares of each text. The set of languages is the one among the
-nested sets of the likeliest 1, 2 ... MOST languages with the best likelihood less PENALTY * log(trigrams) per language.
+nested sets of the likeliest 1, 2 ... all languages with the best likelihood less PENALTY * log(trigrams) per language.
 
 Likelihoods are learned from labelled texts, of which a bounded sample of at most SAMPLE rows is taken. As only ratios
 between languages matter to the shares, every gram is replaced by its nearest of CODES vectors of such ratios, found by
@@ -22,7 +22,6 @@ from .common import bounded_sample, held_out, map_batches, slices, text_buffer
 SAMPLE = 20_000
 GRAMS = 15  # bits of a gram's number
 CODES = 256
-MOST = 4
 PENALTY = 3.0
 ROUNDS = 12
 SMOOTH = 0.5
@@ -70,7 +69,7 @@ class Model:
         rank = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1)
         best, shares, chosen = np.full(len(texts), -np.inf), whole, np.zeros(len(texts), int)
         price = PENALTY * np.log(np.maximum(h.sum(axis=1), 2))
-        for s in range(1, min(MOST, count) + 1):
+        for s in range(1, count + 1):
             p, ll = self._shares(h, (rank < s).astype(float))
             better = ll - s * price > best
             best = np.where(better, ll - s * price, best)

@@ -56,3 +56,15 @@ def test_shares_maximise_the_likelihood():
 def test_grams_do_not_cross_texts():
     g, of = m.grams(["ab", None, "", "cd e"])
     assert of.tolist() == [0, 0, 3, 3, 3]
+
+
+def test_mixture_of_six_languages(spark):
+    """No bound on the number of languages of a text."""
+    r = random.Random(9)
+    sets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    word = lambda s: "".join(r.choice(s) for _ in range(6))
+    rows = [(i, " ".join(word(sets[i % 6]) for _ in range(60)), f"l{i % 6}") for i in range(240)]
+    model = m.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join(word(s) for _ in range(150) for s in sets)
+    shares, chosen = model.infer([mixed, rows[0][1]])
+    assert chosen.tolist() == [6, 1] and shares[0].min() > 0.1
