@@ -2,8 +2,9 @@
 
 Each text gets a few measures. Instead of fixed cutoffs, every measure has fences per language and source, from
 mergeable KLL quantile sketches: a sketch per group in one aggregation, and the sketch of everything by merging those.
-A fence is FAR interquartile ranges beyond the quartiles, and never nearer to them than the measure's slack. Groups of
-fewer than LEAST texts take the fences of everything. The fences are then joined to the texts' measures and applied.
+A fence is FAR interquartile ranges beyond the quartiles, and never nearer to them than the measure's slack, the least
+difference that matters. Fences of a group of n texts are drawn towards those of everything: their weight is
+n^2 / (n^2 + PRIOR^2), at every size. The fences are then joined to the texts' measures and applied.
 
 Measures are written once, so the texts are read once; what is joined and sketched are narrow rows.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .bytehash import join
 from .common import map_batches, staged
 
-LEAST = 100
+PRIOR = 100  # texts
 FAR = 4.0
 WINDOW = 8
 # measure: slack
@@ -82,7 +83,8 @@ def fences(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     whole = sketches.agg(F.sum("texts").alias("texts"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)).filter("texts > 0")
     every = [x for m, s in MEASURES.items() for x in limits(m, s)]
-    return sketches.filter(F.col("texts") >= LEAST).select("lang", "source", *every), whole.select(*every)
+    weight = F.pow("texts", F.lit(2.0)) / (F.pow("texts", F.lit(2.0)) + PRIOR**2)
+    return sketches.select("lang", "source", weight.alias("weight"), *every), whole.select(*every)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,9 +108,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = staged(own, "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     of_all = whole.first()  # one row
     out = rows.join(own, rows["lang"].eqNullSafe(own["_lang"]) & rows["source"].eqNullSafe(own["_source"]), "left")
+    toward = lambda own, all_: F.coalesce(F.col("weight") * own + (1 - F.col("weight")) * all_, all_)
     beyond = []
     for m in MEASURES:
-        low, high = (F.coalesce(F.col(f"{m}_{x}"), F.lit(of_all[f"{m}_{x}"] if of_all else None).cast("double")) for x in ("low", "high"))
+        low, high = (toward(F.col(f"{m}_{x}"), F.lit(of_all[f"{m}_{x}"] if of_all else None).cast("double")) for x in ("low", "high"))
         beyond.append(F.when((F.col(m) < low) | (F.col(m) > high), m))
     failed = F.array_compact(F.array(*beyond))
     return out.select(F.col("d").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))

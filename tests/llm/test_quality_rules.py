@@ -42,3 +42,15 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a " * 30, None, "s", 1), (1, "b c", "x", None, 2), (1, "b c", "x", None, 2)], "doc_id long, text string, lang string, source string, n_words int")
     assert len(m.quality_rules(df).collect()) == 3
     assert m.quality_rules(df.limit(0)).collect() == []
+
+
+def test_fences_move_smoothly_with_the_size_of_a_group(spark):
+    """A group's fences go from those of everything towards its own, without a size at which they switch."""
+    base = [("aa", "s", float(4 + i % 3)) for i in range(2000)]
+    high = []
+    for n in (10, 99, 100, 101, 1000):
+        rows = spark.createDataFrame(base + [("bb", "s", 20.0)] * n, "lang string, source string, word_length double").selectExpr("*", *(f"0D {k}" for k in m.MEASURES if k != "word_length"))
+        own, whole = m.fences(rows)
+        f, w = own.filter("lang = 'bb'").first(), whole.first()
+        high.append(f.weight * f.word_length_high + (1 - f.weight) * w.word_length_high)
+    assert high == sorted(high) and high[3] - high[1] < 1 and high[-1] > 22
