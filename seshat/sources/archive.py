@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .transcripts import Config, exists, lines_of, transcript_files
+from .transcripts import Config, exists, files_at, lines_of, transcript_files
 
 KEY = ["project", "session", "sub_path"]
 SCHEMA = "project string, session string, sub_path string, nth int, kind string, sha256 string, size long, captured_at string, content binary"
@@ -53,8 +53,8 @@ def sweep(spark: SparkSession, cfg: Config, captured_at: str, sweep_no: int) ->
     paths = changed.collect()  # names of changed files, which the driver lists anyway
     if not paths:
         return 0
-    spark_rows = transcript_files(spark, cfg.root).join(F.broadcast(spark.createDataFrame([(r.path,) for r in paths], "path string")), "path", "left_semi")
-    append(new_generations(spark_rows, generations(spark, cfg), "sweep", captured_at), cfg)
+    rows = files_at(spark, cfg.root, [r.path for r in paths])
+    append(new_generations(rows, generations(spark, cfg), "sweep", captured_at), cfg)
     spark.createDataFrame([(r.path, r.mtime, r.size, sweep_no) for r in paths], "path string, mtime long, size long, swept long").write.mode("append").parquet(f"{cfg.archive}/watermark")
     return len(paths)
 
@@ -62,21 +62,30 @@ def sweep(spark: SparkSession, cfg: Config, captured_at: str, sweep_no: int) ->
 def snapshot(spark: SparkSession, cfg: Config, payload: dict, captured_at: str) -> bool:
     """Capture the one transcript that a hook payload names (session_id, transcript_path, cwd). False if it is not there.
 
-    A file outside the root is filed under the payload's session id and a project made from cwd."""
+    A file outside the root is filed under the payload's session id and a project made from cwd; ids or a cwd that are
+    empty or climb out of their place are refused."""
     path = payload.get("transcript_path") or ""
     if not path or not exists(spark, path):
         return False
     inside = f"{cfg.root.rstrip('/')}/projects/" in path
     if inside:
-        rows = transcript_files(spark, cfg.root).filter(F.endswith("path", F.lit(path.split("://", 1)[-1])))
+        rows = files_at(spark, cfg.root, [path])
     else:
+        session, places = payload.get("session_id") or "", (payload.get("cwd") or "").strip("/").split("/")
+        if any(x in ("", ".", "..") for x in [session, *places]) or "/" in session or "\\" in session:
+            raise ValueError(f"unsafe session id or cwd: {session!r}, {payload.get('cwd')!r}")
         one = spark.read.format("binaryFile").load(path)
-        project = "-" + (payload.get("cwd") or "unknown").strip("/").replace("/", "-")
-        rows = one.select(F.lit(project).alias("project"), F.lit(payload["session_id"]).alias("session"), F.lit("").alias("sub_path"), "content")
+        rows = one.select(F.lit("-" + "-".join(places)).alias("project"), F.lit(session).alias("session"), F.lit("").alias("sub_path"), "content")
     append(new_generations(rows, generations(spark, cfg), "snapshot", captured_at), cfg)
     return True
 
 
+def manifest(spark: SparkSession, cfg: Config) -> DataFrame:
+    """Per session directory its parent's and subagents' generations in stored order, derived from the archive itself, so it cannot lag behind."""
+    one = F.struct("sub_path", "nth", "kind", "sha256", "size", "captured_at")
+    return generations(spark, cfg).drop("content").groupBy("project", "session").agg(F.sort_array(F.collect_list(one)).alias("generations"))
+
+
 def generation_lines(gens: DataFrame) -> DataFrame:
     """Raw lines of generations: the parent's first, then each subagent's by path, each in order of number."""
     ref = F.concat(F.when(F.col("sub_path") != "", F.concat("sub_path", F.lit("/"))).otherwise(F.lit("")), F.lpad(F.col("nth").cast("string"), 4, "0"))
@@ -95,7 +104,7 @@ def read_generation(spark: SparkSession, cfg: Config, project: str, session: str
 
 def read_zstd(spark: SparkSession, root: str) -> DataFrame:
     """Raw lines of <root>/<project>/<session>/[subagents/<agent>/]NNNN.zst files, as lines_of gives them."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*.zst").text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[0-9]*.zst").select("value", F.col("_metadata.file_path").alias("path"))
     rel = F.regexp_extract("path", "([^/]+)/([^/]+)/((?:subagents/.+/)?)([0-9]+)\\.zst$", 0)
     project, session, sub, nth = (F.regexp_extract(rel, "^([^/]+)/([^/]+)/((?:subagents/.+/)?)([0-9]+)\\.zst$", k) for k in range(1, 5))
     order = F.concat(F.when(sub == "", "0").otherwise("1"), sub, nth)

@@ -49,6 +49,16 @@ def transcript_files(spark: SparkSession, root: str, content: bool = True) -> Da
         found = spark.createDataFrame([], FILES)
     else:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(f"{root}/projects")
+    return _keyed(found, root, content)
+
+
+def files_at(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """`transcript_files` of some paths under the root; no other file is listed or read."""
+    plain = [re.sub(r"([{}\[\]*?\\])", r"\\\1", x) for x in paths]
+    return _keyed(spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(plain), root, True)
+
+
+def _keyed(found: DataFrame, root: str, content: bool) -> DataFrame:
     out = found.select("path", F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
     out = out.withColumns(archive_key(F.col("path"), root))
     return out.filter("project is not null")
