@@ -255,17 +255,6 @@ def entity_units(spark, d):
 # --- normalization
 
 
-@query("event", "SELECT id, last_value(CASE WHEN role = 'user' THEN id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS request_bundle FROM event")
-def request_bundle(spark, d):
-    w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return a.event(spark, d).select("id", F.last(F.when(F.col("role") == "user", F.col("id")), ignorenulls=True).over(w).alias("request_bundle"))
-
-
-@query("event", "SELECT uuid, id, row_number() OVER (PARTITION BY uuid ORDER BY id) - 1 AS n FROM event")
-def artifact_ordinals(spark, d):
-    return a.event(spark, d).select("uuid", "id", (F.row_number().over(Window.partitionBy("uuid").orderBy("id")) - 1).cast("long").alias("n"))
-
-
 @query("event", "SELECT id, CASE WHEN kind IN ('text', 'tool_use') OR (kind = 'tool_result' AND tool IN ('WebFetch', 'WebSearch')) THEN 'indexed' ELSE 'skeleton' END AS grain FROM (SELECT id, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_use' ELSE 'tool_result' END AS kind, CASE WHEN id % 5 = 0 THEN 'WebFetch' WHEN id % 5 = 1 THEN 'Read' END AS tool FROM event)")
 def grain_assign(spark, d):
     t, i = F.col("turn") % 4, F.col("id") % 5
@@ -342,16 +331,64 @@ def dedup_keep_first(spark, d):
     return kept.select(F.substring("session_dir", 2, 18).cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("turn")).join(c.select("conv_id", "turn", "text"), ["conv_id", "turn"])
 
 
-@query("", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_dir, 't' || CAST(turn AS VARCHAR) AS call_id, 'Read' AS answers FROM conversations WHERE role <> 'user'")
-def tool_name_lookup(spark, d):
-    valid, _ = normalize.split_valid(_transcript(spark, d))
-    return normalize.tool_calls(normalize.blocks(normalize.message_lines(valid))).select("session_dir", "call_id", "answers")
+_TURN = "'u' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)"
+_SUB = "CASE WHEN conv_id % 3 = 0 THEN 'scout' || CAST(turn AS VARCHAR) ELSE 'scout' END"
 
 
-@query("event", "SELECT session_id, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) END AS kind FROM (SELECT session_id, CASE WHEN length(session_id) = 2 THEN 'one' ELSE role END AS kind FROM event) GROUP BY session_id")
+def _working(spark, d):
+    """conversations as lines of work: every turn that is not the user's writes a file, runs a heredoc, says a fence, thinks, fetches a page and starts a subagent; the answers to the calls stand in the same line."""
+    c = a.table(spark, d, "conversations")
+    blocks = (
+        '[{"type":"tool_use","id":"f@","name":"Write","input":{"file_path":"/d/f@.TXT","content":"row @\\n  end"}},'
+        '{"type":"tool_use","id":"t@","name":"Bash","input":{"command":"A=1 tee x <<EOF\\none @\\ntwo\\nEOF"}},'
+        '{"type":"text","text":"Sure:\\n```py\\ndef f@():\\n```\\n"},{"type":"thinking","thinking":"hmm"},'
+        '{"type":"tool_use","id":"w@","name":"WebFetch","input":{"url":"http://x/@"}},{"type":"tool_use","id":"s@","name":"Task","input":{"subagent_type":"%"}},'
+        '{"type":"tool_result","tool_use_id":"t@","content":"said @","is_error":true},{"type":"tool_result","tool_use_id":"w@","content":[{"type":"text","text":"page"},{"type":"text","text":"@"}]},'
+        '{"type":"tool_result","tool_use_id":"none","content":"lost"}]'
+    )
+    turn = F.col("turn").cast("string")
+    work = F.replace(F.replace(F.lit(blocks), F.lit("@"), turn), F.lit("%"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("scout"), turn)).otherwise("scout"))
+    user = F.col("role") == "user"
+    more = F.when(F.col("turn") % 2 == 0, '"isSidechain":true,"attributionSkill":{"name":"sk"},"attributionAgent":"",').otherwise('"attributionSkill":"late","attributionPlugin":"first",')
+    line = F.concat(F.lit('{"type":"'), F.when(user, "user").otherwise("assistant"), F.lit('","uuid":"u'), F.col("conv_id").cast("string"), F.lit("-"), turn, F.lit('","sessionId":"c'), F.col("conv_id").cast("string"), F.lit('",'), more, F.lit('"message":{"content":'), F.when(user, '"ask"').otherwise(work), F.lit("}}"))
+    return c.select(F.lit("p").alias("project"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_dir"), F.lit("0").alias("gen_ord"), F.lit("0000").alias("gen_ref"), F.col("turn").cast("int").alias("line_no"), line.alias("line"))
+
+
+def _work_blocks(spark, d):
+    return normalize.blocks(normalize.message_lines(normalize.split_valid(_working(spark, d))[0]))
+
+
+@query("", f"""WITH asked AS (SELECT conv_id, turn, role, {_TURN} AS uuid, last_value(CASE WHEN role = 'user' THEN {_TURN} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS request_bundle FROM conversations)
+SELECT uuid || '-' || CAST(n AS VARCHAR) AS artifact_id, ['file', 'heredoc', 'snippet'][n + 1] AS kind, CASE n WHEN 0 THEN '/d/f' || CAST(turn AS VARCHAR) || '.TXT' END AS path, ['txt', NULL, 'py'][n + 1] AS language,
+CASE n WHEN 0 THEN 'row ' || CAST(turn AS VARCHAR) || chr(10) || '  end' WHEN 1 THEN 'one ' || CAST(turn AS VARCHAR) || chr(10) || 'two' ELSE 'def f' || CAST(turn AS VARCHAR) || '():' END AS content, request_bundle, uuid AS source_event_uuid FROM asked, (SELECT unnest([0, 1, 2]) AS n) WHERE role <> 'user'""")
+def normalize_artifacts(spark, d):
+    """Files, heredocs and fences with their ordinals and the request they answer."""
+    return normalize.artifacts(_work_blocks(spark, d)).select("artifact_id", "kind", "path", "language", "content", "request_bundle", "source_event_uuid")
+
+
+@query("", f"SELECT {_TURN} AS uuid, block_no, last_value(CASE WHEN role = 'user' THEN {_TURN} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, block_no ROWS UNBOUNDED PRECEDING) AS request_bundle FROM (SELECT *, unnest(range(CASE WHEN role = 'user' THEN 1 ELSE 9 END)) AS block_no FROM conversations)")
+def request_bundle(spark, d):
+    return normalize.prompts(_work_blocks(spark, d)).select("uuid", F.col("block_no").cast("long").alias("block_no"), "request_bundle")
+
+
+@query("", f"""WITH one AS (SELECT conv_id, CASE WHEN count(DISTINCT {_SUB}) = 1 THEN min({_SUB}) END AS sub FROM conversations WHERE role <> 'user' GROUP BY conv_id)
+SELECT {_TURN} AS uuid, k.place, CASE WHEN k.place = 0 THEN 'thinking' ELSE 'tool_result' END AS kind, CASE WHEN k.place = 2 THEN 'page' || chr(10) || CAST(turn AS VARCHAR) END AS text, [NULL, 'Bash', 'WebFetch', NULL][k.place + 1] AS tool_name, CASE WHEN k.place = 1 THEN true END AS is_error,
+CASE WHEN turn % 2 = 0 THEN 'sk' ELSE 'late' END AS attribution, turn % 2 = 0 AS is_sidechain, CASE WHEN turn % 2 = 0 THEN sub END AS agent_type, CASE WHEN k.place = 2 THEN 'indexed' ELSE 'skeleton' END AS grain FROM conversations JOIN one USING (conv_id), (SELECT unnest([0, 1, 2, 3]) AS place) k WHERE role <> 'user'""")
+def normalize_results(spark, d):
+    """Thinking and tool results: bodies by grain, the tool that answers, errors, attribution, subagents."""
+    got = normalize.normalize(_working(spark, d))["event"].filter("kind in ('thinking', 'tool_result')")
+    place = F.row_number().over(Window.partitionBy("uuid").orderBy("id")) - 1
+    return got.select("uuid", place.cast("long").alias("place"), "kind", "text", "tool_name", "is_error", "attribution", "is_sidechain", "agent_type", "grain")
+
+
+@query("", f"SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_dir, CASE WHEN count(DISTINCT {_SUB}) = 1 THEN min({_SUB}) END AS subagent_type FROM conversations WHERE role <> 'user' GROUP BY conv_id")
 def single_subagent_type(spark, d):
-    e = a.event(spark, d).withColumn("kind", F.when(F.length("session_id") == 2, "one").otherwise(F.col("role")))
-    return e.groupBy("session_id").agg(F.collect_set("kind").alias("k")).select("session_id", F.when(F.size("k") == 1, F.col("k")[0]).alias("kind"))
+    return normalize.single_subagent_type(_work_blocks(spark, d)).select("session_dir", "subagent_type")
+
+
+@query("", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_dir, k.p || CAST(turn AS VARCHAR) AS call_id, k.answers FROM conversations, (SELECT unnest([{'p': 'f', 'answers': 'Write'}, {'p': 't', 'answers': 'Bash'}, {'p': 'w', 'answers': 'WebFetch'}, {'p': 's', 'answers': 'Task'}], recursive := true)) k WHERE role <> 'user'")
+def tool_name_lookup(spark, d):
+    return normalize.tool_calls(_work_blocks(spark, d)).select("session_dir", "call_id", "answers")
 
 
 # --- ledgers
