@@ -6,11 +6,12 @@ Candidates come from the SimHash operator first: fingerprints of the five-word s
 and anchors within ten bits are nearly all anchors. So further candidates come from prefixes. Under one order of all
 shingles, two sets of similarity 4/5 or more share one of their first n - ceil(4 n / 5) + 1 shingles (n in the set), so
 only those are shuffled. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
-texts meet at shingles that few others have. Sets that meet at a shingle are not paired with each other all: each is
-compared by size and fingerprint with its neighbours in three orders (by size, and by either half of the fingerprint),
-and the nearest ones (of sets of few shingles all) become candidates, a bounded number a row, however many meet. Every candidate that is not linked
-already is checked exactly by its texts, so a link is never wrong; one could be missed only if a pair stays apart in all
-orders at all shingles that it shares, and no chain of other links joins it (none in the tests against brute force).
+texts meet at shingles that few others have. Sets that meet at a shingle are not all paired with each other. First each
+is compared with its neighbours in three orders (by size, and by either half of the fingerprint), and the nearest ones
+become candidates: that joins nearly all groups with a bounded number of candidates a row. Then every pair that meets
+and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
+differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
+Pairs within the bound are checked by their texts. So no link between components is lost, and no link is wrong.
 
 Equal sets are one before anything is replicated.
 """
@@ -38,6 +39,8 @@ SEED = 42
 NEAR = 8  # neighbours that a set is compared with, in each order
 FAR_BITS = 20  # differing bits beyond which sets of SURE shingles or more are not similar (at 0.8 about 10 are expected)
 SURE = 64
+CLASSES = 512  # of shingles, by hash, for the bound on how much two sets differ
+CELL = 2048  # sets of a shingle that are compared in one group; of more, each pair of parts is a group
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -54,6 +57,11 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def parities(x: np.ndarray) -> bytes:
+    """For each class of shingles whether the set has an odd number of them. Those of two sets differ in at most as many classes as there are shingles in one set only."""
+    return np.packbits(np.bincount(x % np.uint64(CLASSES), minlength=CLASSES).astype(np.uint8) & 1).tobytes()
+
+
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample, ascending, and how common they are."""
 
@@ -88,23 +96,32 @@ def _prefixes(h: np.ndarray, n: np.ndarray):
         return x[np.argsort(np.where(h[at] == x, n[at], 0), kind="stable")][:take]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, size, first, f = [], [], [], []
+        g, size, first, f, odd = [], [], [], [], []
         for x in b.column(1).to_pylist():
             own = shingles(x)
             g.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             f.append(simhash.majority(own[at : at + simhash.PIECE] for at in range(0, len(own), simhash.PIECE)))
             size.append(len(own))
+            odd.append(parities(own))
             first.append(prefix(own).view(np.int64))
         off = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
         flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "first", "_x"])
+        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "odd", "first", "_x"])
 
     return fn
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, g, n, f in order of a, n, g: for each row the nearest of its neighbours at shingle a (of small sets all of them), in each of three orders."""
+    """Rows a, g, n, f in order of a, n, g: for each row the nearest of its neighbours at shingle a (of small sets all of
+    them), in each of three orders, as u, v; and as u, a, n every row that shares its shingle with another."""
     tail: list[np.ndarray] | None = None
+
+    def met(cols, first: int, end: int) -> pa.RecordBatch:
+        a, g, n, _ = cols
+        same = np.concatenate([[False], a[1:] == a[:-1], [False]])
+        at = first + np.flatnonzero(same[first:end] | same[first + 1 : end + 1])
+        return pa.record_batch([pa.array(g[at]), pa.nulls(len(at), pa.int64()), pa.array(a[at]), pa.array(n[at])], names=["u", "v", "a", "n"])
+
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         old = len(tail[0]) if tail else 0
@@ -133,8 +150,74 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vs.append(np.minimum(g[own], g[other[own]]))
         u, v = np.concatenate(us), np.concatenate(vs)
         if len(u):
-            yield pa.record_batch([u, v], names=["u", "v"])
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64())], names=["u", "v", "a", "n"])
+        yield met(cols, max(0, old - 1), len(a) - 1)  # the last row's successor is not known yet
         tail = [c[-NEAR:] for c in cols]
+    if tail and len(tail[0]):
+        yield met(tail, len(tail[0]) - 1, len(tail[0]))
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a, cell, n, g, part, whole, root, odd in order of a, cell, n: the pairs of a group (a, cell) with two roots (and,
+    unless whole, of two parts) that the sizes and parities allow to be similar."""
+    tail = None
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, CLASSES // 64))
+        old = len(tail[0]) if tail else 0
+        a, cell, n, g, part, whole, root, odd = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
+        us, vs, held = [], [], 0
+        live, s = np.arange(old, len(a)), 1
+        while len(live := live[live >= s]):
+            x, y = live, live - s
+            live = live[(a[x] == a[y]) & (cell[x] == cell[y]) & (DEN * n[y] >= NUM * n[x])]  # n ascends: further ones fail too
+            x, y = live, live - s
+            ok = (root[x] != root[y]) & (whole[x] | (part[x] != part[y]))
+            x, y = x[ok], y[ok]
+            for at in range(0, len(x), 1 << 16):
+                i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                near = (NUM + DEN) * np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+                i, j = i[near], j[near]
+                us.append(np.maximum(g[i], g[j]))
+                vs.append(np.minimum(g[i], g[j]))
+                held += len(i)
+            if held > 1 << 18:
+                yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
+                us, vs, held = [], [], 0
+            s += 1
+        if held:
+            yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
+        if len(a):
+            start = len(a) - int(np.argmin(((a == a[-1]) & (cell == cell[-1]))[::-1])) if not ((a == a[-1]) & (cell == cell[-1])).all() else 0
+            tail = [c[start:] for c in cols]
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """For each row of _d, _x its set's digest g, fingerprint f, size n, parities and prefix."""
+    return staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, odd binary, first array<long>, _x string"), "copies")
+
+
+def _meetings(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows g, a, n of sets that share a shingle a of their prefixes with another; and near neighbours at one, as u, v, shared."""
+    rows = prints.select("g", "n", "f", "first").dropDuplicates(["g"]).select(F.explode("first").alias("a"), "g", "n", "f")
+    found = staged(rows.repartition("a").sortWithinPartitions("a", "n", "g").mapInArrow(_neighbours, "u long, v long, a long, n long"), "copies-met")
+    near = found.filter("v is not null").groupBy("u", "v").agg(F.count("*").alias("shared"))
+    return found.filter("v is null").select(F.col("u").alias("g"), "a", "n"), staged(near, "copies-candidates")
+
+
+def _still_apart(met: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs of sets that meet at a shingle of their prefixes, are in different components and may be similar."""
+    of = prints.select("g", "odd").dropDuplicates(["g"]).join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    rooted = met.join(of.select("g", "root"), "g")
+    mixed = rooted.groupBy("a").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).filter("r <> s")
+    parts = mixed.select("a", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
+    rows = rooted.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
+    rows = rows.select("a", cell.alias("cell"), "n", "g", "part", "root", "parts")
+    whole = F.col("cell") % (F.col("parts") + 1) == 0  # both parts are one: cell is part * (parts + 1)
+    rows = rows.withColumn("whole", whole).join(of.select("g", "odd"), "g").select("a", "cell", "n", "g", "part", "whole", "root", "odd")
+    return rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "n").mapInArrow(_apart, "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -175,18 +258,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts without words are equal to each other. Null ids take part but are never the smallest; a group with null ids
     alone has a null component_id. Repeated rows are each returned. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x"))
-    prints = staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, first array<long>, _x string"), "copies")
-    rows = prints.select("g", "n", "f", "first").dropDuplicates(["g"]).select(F.explode("first").alias("a"), "g", "n", "f")
-    near = rows.repartition("a").sortWithinPartitions("a", "n", "g").mapInArrow(_neighbours, "u long, v long")
-    candidates = staged(near.groupBy("u", "v").agg(F.count("*").alias("shared")), "copies-candidates")
-
+    prints = _prints(docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x")))
+    met, candidates = _meetings(prints)
     links = _verified(_by_fingerprint(prints), prints)
     roots = components(links)
-    for last in (False, True):  # the best candidate of each set, then all whose ends are still apart
+    for step in ("best", "all", "rest"):  # the best candidate of each set, all whose ends are still apart, all pairs that are
         of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
         apart = candidates.join(of_u, "u", "left").join(of_v, "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-        pairs = apart.select("u", "v") if last else apart.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+        best = apart.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+        pairs = _still_apart(met, prints, roots) if step == "rest" else best if step == "best" else apart.select("u", "v")
         more = _verified(pairs, prints)
         if more.limit(1).count():
             links = links.union(more)

@@ -51,6 +51,26 @@ def test_matches_brute_force(spark, seed):
     assert {x.doc_id: x.component_id for x in m.near_copies(df).collect()} == want
 
 
+def test_last_pass_alone_loses_no_link(spark, monkeypatch):
+    """Without any link known before, and with small groups: every similar pair of different sets is among the pairs."""
+    monkeypatch.setattr(m, "CELL", 5)
+    r, rows = random.Random(3), []
+    for i in range(12):
+        w = [f"w{i}_{k}" for k in range((12, 120, 900)[i % 3])]
+        for _ in range(30):  # many sets that share most shingles
+            x = list(w)
+            for _ in range(r.randrange(1, 2 + len(w) // 60)):
+                x[r.choice([-1, r.randrange(len(x))])] = f"x{r.randrange(9000)}"
+            rows.append((len(rows), " ".join(x)))
+    prints = m._prints(spark.createDataFrame(rows, "_d long, _x string").repartition(3))
+    met, _ = m._meetings(prints)
+    got = {(x.u, x.v) for x in m._still_apart(met, prints, spark.createDataFrame([], "node long, root long")).collect()}
+    g = {x._d: x.g for x in prints.collect()}
+    sets = {i: slow_set(x) for i, x in rows}
+    similar = {(max(g[i], g[j]), min(g[i], g[j])) for i in sets for j in range(i) if g[i] != g[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(similar) > 500 and similar <= got and len(got) < 12 * 30 * 29 / 2
+
+
 def test_pipeline_stage_is_brute_force_jaccard(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = slow_groups([(r.doc_id, r.text) for r in docs.collect()])
