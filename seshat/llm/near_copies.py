@@ -4,14 +4,16 @@ sets of five-word shingles.
 Candidates come from the SimHash operator first: fingerprints of the five-word shingles, linked by anchor-point covering
 (see simhash). But 64 bits within three cannot find all of 0.8: at that similarity fingerprints differ in about ten bits,
 and anchors within ten bits are nearly all anchors. So further candidates come from prefixes. Under one order of all
-shingles, two sets of similarity 4/5 or more share one of their first n - ceil(4 n / 5) + 1 shingles (n in the set), so
-only those are shuffled. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
+shingles, two sets of similarity 4/5 or more share k of their first n - ceil(4 n / 5) + k shingles (n in the set), so
+only those are shuffled; k grows with n, as large sets share a few by chance. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
 texts meet at shingles that few others have. Sets that meet at a shingle are not all paired with each other. First each
 is compared with its neighbours in three orders (by size, and by either half of the fingerprint), and the nearest ones
 become candidates: that joins nearly all groups with a bounded number of candidates a row. Then every pair that meets
-and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
+in the k places and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
 differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
-Pairs within the bound are checked by their texts. So no link between components is lost, and no link is wrong.
+Before any text moves, all pairs pass the same bound on parities of as many classes as the sets have shingles, which 512
+say little about when sets are large. Pairs within it are checked by their texts, first one for each two components. So
+no link between components is lost, and no link is wrong.
 
 Equal sets are one before anything is replicated.
 """
@@ -40,6 +42,7 @@ NEAR = 8  # neighbours that a set is compared with, in each order
 FAR_BITS = 20  # differing bits beyond which sets of SURE shingles or more are not similar (at 0.8 about 10 are expected)
 SURE = 64
 CLASSES = 512  # of shingles, by hash, for the bound on how much two sets differ
+CHANCE = 50  # shingles of a set for each further one that it has to share in the prefixes
 CELL = 2048  # sets of a shingle that are compared in one group; of more, each pair of parts is a group
 
 
@@ -52,14 +55,30 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
 
 
+def to_share(n):
+    """How many shingles of their prefixes similar sets of n shingles or more share at least."""
+    return 1 + n // CHANCE
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
-def parities(x: np.ndarray) -> bytes:
+def parities(x: np.ndarray, classes: int = CLASSES) -> bytes:
     """For each class of shingles whether the set has an odd number of them. Those of two sets differ in at most as many classes as there are shingles in one set only."""
-    return np.packbits(np.bincount(x % np.uint64(CLASSES), minlength=CLASSES).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(x % np.uint64(classes), minlength=classes).astype(np.uint8) & 1).tobytes()
+
+
+def wide_parities(x: np.ndarray) -> bytes:
+    """Parities of as many classes as x has shingles, rounded up to a power of two; at least CLASSES."""
+    return parities(x, max(CLASSES, 1 << (len(x) - 1).bit_length()))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many classes parities differ; those of more classes are folded to the other's number."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(p ^ np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)).sum(dtype=np.int64))
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -89,24 +108,25 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(h: np.ndarray, n: np.ndarray):
     def prefix(x: np.ndarray) -> np.ndarray:
-        take = len(x) - -(-NUM * len(x) // DEN) + 1 if len(x) else 0
+        take = len(x) - -(-NUM * len(x) // DEN) + to_share(len(x)) if len(x) else 0
         if not len(h):
             return x[:take]
         at = np.minimum(np.searchsorted(h, x), len(h) - 1)
         return x[np.argsort(np.where(h[at] == x, n[at], 0), kind="stable")][:take]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, size, first, f, odd = [], [], [], [], []
+        g, size, first, f, odd, wide = [], [], [], [], [], []
         for x in b.column(1).to_pylist():
             own = shingles(x)
             g.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             f.append(simhash.majority(own[at : at + simhash.PIECE] for at in range(0, len(own), simhash.PIECE)))
             size.append(len(own))
             odd.append(parities(own))
+            wide.append(wide_parities(own))
             first.append(prefix(own).view(np.int64))
         off = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
         flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "odd", "first", "_x"])
+        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "odd", "wide", "first", "_x"])
 
     return fn
 
@@ -159,14 +179,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, cell, n, g, part, whole, root, odd in order of a, cell, n: the pairs of a group (a, cell) with two roots (and,
-    unless whole, of two parts) that the sizes and parities allow to be similar."""
+    unless whole, of two parts) that the sizes and parities allow to be similar, with how many shingles they have to share."""
     tail = None
+
+    def batch(us, vs, ks) -> pa.RecordBatch:
+        return pa.record_batch([np.concatenate(us), np.concatenate(vs), np.concatenate(ks)], names=["u", "v", "k"])
+
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, CLASSES // 64))
         old = len(tail[0]) if tail else 0
         a, cell, n, g, part, whole, root, odd = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
-        us, vs, held = [], [], 0
+        us, vs, ks, held = [], [], [], 0
         live, s = np.arange(old, len(a)), 1
         while len(live := live[live >= s]):
             x, y = live, live - s
@@ -180,21 +204,22 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, j = i[near], j[near]
                 us.append(np.maximum(g[i], g[j]))
                 vs.append(np.minimum(g[i], g[j]))
+                ks.append(to_share(np.minimum(n[i], n[j])))
                 held += len(i)
             if held > 1 << 18:
-                yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
-                us, vs, held = [], [], 0
+                yield batch(us, vs, ks)
+                us, vs, ks, held = [], [], [], 0
             s += 1
         if held:
-            yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
+            yield batch(us, vs, ks)
         if len(a):
             start = len(a) - int(np.argmin(((a == a[-1]) & (cell == cell[-1]))[::-1])) if not ((a == a[-1]) & (cell == cell[-1])).all() else 0
             tail = [c[start:] for c in cols]
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """For each row of _d, _x its set's digest g, fingerprint f, size n, parities and prefix."""
-    return staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, odd binary, first array<long>, _x string"), "copies")
+    """For each row of _d, _x its set's digest g, fingerprint f, size n, parities of few and of many classes, and prefix."""
+    return staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, odd binary, wide binary, first array<long>, _x string"), "copies")
 
 
 def _meetings(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,9 +231,9 @@ def _meetings(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _still_apart(met: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs of sets that meet at a shingle of their prefixes, are in different components and may be similar."""
+    """Distinct pairs of sets that meet at enough shingles of their prefixes, are in different components and may be similar."""
     of = prints.select("g", "odd").dropDuplicates(["g"]).join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    rooted = met.join(of.select("g", "root"), "g")
+    rooted = met.join(of.select("g", "root"), "g").repartition("a")
     mixed = rooted.groupBy("a").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).filter("r <> s")
     parts = mixed.select("a", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
     rows = rooted.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
@@ -217,11 +242,30 @@ def _still_apart(met: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFra
     rows = rows.select("a", cell.alias("cell"), "n", "g", "part", "root", "parts")
     whole = F.col("cell") % (F.col("parts") + 1) == 0  # both parts are one: cell is part * (parts + 1)
     rows = rows.withColumn("whole", whole).join(of.select("g", "odd"), "g").select("a", "cell", "n", "g", "part", "whole", "root", "odd")
-    return rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "n").mapInArrow(_apart, "u long, v long").distinct()
+    return rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "n").mapInArrow(_apart, "u long, v long, k long").groupBy("u", "v").agg(F.count("*").alias("met"), F.min("k").alias("k")).filter("met >= k").select("u", "v")
+
+
+def _possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Of distinct pairs u, v the ones that sizes and wide parities allow to be similar, and shared, which is larger the less they differ."""
+    before = staged_so_far()
+    pairs = staged(pairs.select("u", "v"), "copies-pairs")
+    ends = pairs.select(F.col("u").alias("g")).union(pairs.select("v")).distinct()
+    sets = staged(prints.select("g", "n", "wide").join(ends, "g", "left_semi").dropDuplicates(["g"]), "copies-wide")
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        d = np.fromiter((differing(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)), np.int64, b.num_rows)
+        m, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+        near = pa.array(((NUM + DEN) * d <= m + n) & (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)))
+        return pa.record_batch([b.column(0).filter(near), b.column(1).filter(near), pa.array(-d).filter(near)], names=["u", "v", "shared"])
+
+    both = pairs.join(sets.toDF("v", "m", "_p"), "v").join(sets.toDF("u", "n", "_q"), "u").select("u", "v", "m", "_p", "n", "_q")
+    found = staged(map_batches(both, fn, "u long, v long, shared long"), "copies-possible")
+    drop_staged(found.sparkSession, before, but_last=1)
+    return found
 
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Of distinct pairs u, v the ones that are similar."""
+    """Of distinct pairs u, v that may be similar the ones that are."""
     before = staged_so_far()
     pairs = staged(pairs, "copies-pairs")
     ends = pairs.select(F.col("u").alias("g")).union(pairs.select("v")).distinct()
@@ -260,14 +304,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     prints = _prints(docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x")))
     met, candidates = _meetings(prints)
-    links = _verified(_by_fingerprint(prints), prints)
+    links = _verified(_possible(_by_fingerprint(prints), prints).select("u", "v"), prints)
     roots = components(links)
-    for step in ("best", "all", "rest"):  # the best candidate of each set, all whose ends are still apart, all pairs that are
+    for step in ("best", "all", "first", "rest"):  # the best candidate of each set, all whose ends are still apart; of all pairs that are, the best of each two components, all
+        if step == "first":
+            candidates = _possible(_still_apart(met, prints, roots), prints)
         of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-        apart = candidates.join(of_u, "u", "left").join(of_v, "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-        best = apart.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-        pairs = _still_apart(met, prints, roots) if step == "rest" else best if step == "best" else apart.select("u", "v")
-        more = _verified(pairs, prints)
+        apart = candidates.join(of_u, "u", "left").join(of_v, "v", "left").withColumns({"p": F.coalesce("root_u", "u"), "q": F.coalesce("root_v", "v")}).filter("p <> q")
+        if step == "best":
+            apart = apart.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+        elif step == "first":
+            apart = apart.groupBy(F.least("p", "q"), F.greatest("p", "q")).agg(F.max_by(F.struct("u", "v"), F.struct("shared", "u", "v")).alias("_b")).select("_b.*")
+        apart = (_possible(apart, prints) if step in ("best", "all") else apart).select("u", "v")
+        more = _verified(apart, prints)
         if more.limit(1).count():
             links = links.union(more)
             roots = components(links)

@@ -1,8 +1,14 @@
 import random
+import tempfile
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import seshat.llm.near_copies as m
+from seshat.llm.common import CLEANUP, staged
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.01"
@@ -71,6 +77,47 @@ def test_last_pass_alone_loses_no_link(spark, monkeypatch):
     assert len(similar) > 500 and similar <= got and len(got) < 12 * 30 * 29 / 2
 
 
+def test_large_sets_that_share_little_are_no_pairs(spark):
+    """512 parities say nothing about them: each shares a tenth with the others, some of it in the prefixes; one pair is similar."""
+    r, rows = random.Random(5), []
+    for i in range(20):
+        rows.append((i, " ".join([f"c{k}" for k in range(200)] + [f"w{i}_{k}" for k in range(1800)])))
+    x = rows[4][1].split()
+    for _ in range(20):
+        x[r.randrange(300, 2000)] = "other"
+    rows.append((20, " ".join(x)))
+    prints = m._prints(spark.createDataFrame(rows, "_d long, _x string").repartition(3))
+    met, _ = m._meetings(prints)
+    none = spark.createDataFrame([], "node long, root long")
+    g = {x._d: x.g for x in prints.collect()}
+    one = {(max(g[4], g[20]), min(g[4], g[20]))}
+    assert {(x.u, x.v) for x in m._still_apart(met, prints, none).collect()} == one
+    pairs = spark.createDataFrame([(max(g[i], g[j]), min(g[i], g[j])) for i in g for j in range(i)], "u long, v long")
+    assert {(x.u, x.v) for x in m._possible(pairs, prints).collect()} == one
+
+
+def test_wide_parities_differ_in_no_more_classes_than_the_sets():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 300, 512, 513, 1000, 1030, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[n // 9 :], r.integers(0, 1 << 63, n // 7).astype(np.uint64)]))
+        d, apart = m.differing(m.wide_parities(x), m.wide_parities(y)), len(np.setxor1d(x, y))
+        assert apart / 2 <= d <= apart
+    assert m.differing(m.wide_parities(np.arange(5000, dtype=np.uint64)), m.wide_parities(np.arange(400, dtype=np.uint64))) > 0
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    files = lambda: set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    df = staged(spark.range(100_000).repartition("id").groupBy((F.col("id") % 1009).alias("k")).count(), "shuffled")
+    for _ in range(50):  # they are deleted soon after
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and df.count() == 1009
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_pipeline_stage_is_brute_force_jaccard(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = slow_groups([(r.doc_id, r.text) for r in docs.collect()])
