@@ -10,7 +10,7 @@ texts meet at shingles that few others have. Sets that meet at a shingle are not
 is compared with its neighbours in three orders (by size, and by either half of the fingerprint), and the nearest ones
 become candidates: that joins nearly all groups with a bounded number of candidates a row. Then every pair that meets
 in the k places and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
-differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
+(of 2048 if both sets are large) differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
 Before any text moves, all pairs pass the same bound on parities of as many classes as the sets have shingles, which 512
 say little about when sets are large. Pairs within it are checked by their texts, first one for each two components. So
 no link between components is lost, and no link is wrong.
@@ -29,19 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_sample, drop_staged, map_batches, staged, staged_so_far
+from .common import bounded_sample, drop_staged, map_batches, slices, staged, staged_so_far, text_buffer
 from .components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the least similarity, 4/5
 SAMPLE = 20_000  # texts in which common shingles are counted
-COMMON = 50_000  # common shingles at most
-LEAST_COMMON = 8  # texts of the sample
+COMMON = 100_000  # common shingles at most
+LEAST_COMMON = 3  # texts of the sample
 SEED = 42
 NEAR = 8  # neighbours that a set is compared with, in each order
 FAR_BITS = 20  # differing bits beyond which sets of SURE shingles or more are not similar (at 0.8 about 10 are expected)
 SURE = 64
 CLASSES = 512  # of shingles, by hash, for the bound on how much two sets differ
+MORE_CLASSES, LARGE = 4, 768  # times as many classes for sets of more shingles than LARGE
+PART = 4 << 20  # bytes of texts looked at together
 CHANCE = 50  # shingles of a set for each further one that it has to share in the prefixes
 CELL = 2048  # sets of a shingle that are compared in one group; of more, each pair of parts is a group
 
@@ -91,8 +93,8 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         held, size = [], 0
         for b in batches:
-            for x in b.column(0).to_pylist():
-                held.append(shingles(x))
+            for x in b.column(0):
+                held.append(shingles(x.as_py()))
                 size += len(held[-1])
                 if size > 1 << 21:
                     yield flush(held)
@@ -114,20 +116,24 @@ def _prefixes(h: np.ndarray, n: np.ndarray):
         at = np.minimum(np.searchsorted(h, x), len(h) - 1)
         return x[np.argsort(np.where(h[at] == x, n[at], 0), kind="stable")][:take]
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         g, size, first, f, odd, wide = [], [], [], [], [], []
         for x in b.column(1).to_pylist():
             own = shingles(x)
             g.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             f.append(simhash.majority(own[at : at + simhash.PIECE] for at in range(0, len(own), simhash.PIECE)))
             size.append(len(own))
-            odd.append(parities(own))
+            odd.append(parities(own, CLASSES * MORE_CLASSES if len(own) > LARGE else CLASSES))
             wide.append(wide_parities(own))
             first.append(prefix(own).view(np.int64))
         off = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
         flat = np.concatenate(first) if first else np.zeros(0, np.int64)
         return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "odd", "wide", "first", "_x"])
 
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for p, q in slices(np.diff(text_buffer(b.column(1))[1]), PART):
+            yield sets(b.slice(p, q - p))
+
     return fn
 
 
@@ -187,9 +193,11 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, CLASSES // 64))
+        odds = b.column(7).to_pylist()
+        more = np.frombuffer(b"".join(x.ljust(CLASSES * MORE_CLASSES // 8, b"\0") for x in odds), np.uint64).reshape(-1, CLASSES * MORE_CLASSES // 64)
+        cols += [np.bitwise_xor.reduce(more.reshape(-1, MORE_CLASSES, CLASSES // 64), axis=1), more, np.array([len(x) * 8 > CLASSES for x in odds], bool)]
         old = len(tail[0]) if tail else 0
-        a, cell, n, g, part, whole, root, odd = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
+        a, cell, n, g, part, whole, root, odd, more, large = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
         us, vs, ks, held = [], [], [], 0
         live, s = np.arange(old, len(a)), 1
         while len(live := live[live >= s]):
@@ -202,6 +210,12 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
                 near = (NUM + DEN) * np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
                 i, j = i[near], j[near]
+                both = large[i] & large[j]
+                p, q = i[both], j[both]
+                far = (NUM + DEN) * np.bitwise_count(more[p] ^ more[q]).sum(1, dtype=np.int64) > n[p] + n[q]
+                near = np.ones(len(i), bool)
+                near[both] = ~far
+                i, j = i[near], j[near]
                 us.append(np.maximum(g[i], g[j]))
                 vs.append(np.minimum(g[i], g[j]))
                 ks.append(to_share(np.minimum(n[i], n[j])))
@@ -275,10 +289,10 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         last, mine = None, None  # pairs come in runs of one u
         for b in batches:
             ok = []
-            for u, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for u, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
                 if u != last:
-                    last, mine = u, shingles(x)
-                ok.append(similar(mine, shingles(y)))
+                    last, mine = u, shingles(x.as_py())
+                ok.append(similar(mine, shingles(y.as_py())))
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     both = pairs.join(texts.toDF("v", "_y"), "v").join(texts.toDF("u", "_x"), "u").select("u", "v", "_x", "_y")
