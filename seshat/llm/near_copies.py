@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_sample, drop_staged, map_batches, slices, staged, staged_so_far, text_buffer
+from .common import bounded_sample, drop_staged, give_back, map_batches, slices, staged, staged_so_far, text_buffer
 from .components import components
 
 SHINGLE = 5
@@ -181,6 +181,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [c[-NEAR:] for c in cols]
     if tail and len(tail[0]):
         yield met(tail, len(tail[0]) - 1, len(tail[0]))
+    give_back()
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +230,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(a):
             start = len(a) - int(np.argmin(((a == a[-1]) & (cell == cell[-1]))[::-1])) if not ((a == a[-1]) & (cell == cell[-1])).all() else 0
             tail = [c[start:] for c in cols]
+    give_back()
 
 
 def _prints(texts: DataFrame) -> DataFrame:
@@ -294,6 +296,7 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
                     last, mine = u, shingles(x.as_py())
                 ok.append(similar(mine, shingles(y.as_py())))
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+        give_back()
 
     both = pairs.join(texts.toDF("v", "_y"), "v").join(texts.toDF("u", "_x"), "u").select("u", "v", "_x", "_y")
     links = staged(both.mapInArrow(fn, "u long, v long"), "copies-links")
