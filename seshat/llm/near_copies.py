@@ -4,13 +4,18 @@ sets of five-word shingles.
 Candidates come from the SimHash operator first: fingerprints of the five-word shingles, linked by anchor-point covering
 (see simhash). But 64 bits within three cannot find all of 0.8: at that similarity fingerprints differ in about ten bits,
 and anchors within ten bits are nearly all anchors. So further candidates come from prefixes. Under one order of all
-shingles, two sets of similarity 4/5 or more share k of their first n - ceil(4 n / 5) + k shingles (n in the set), so
-only those are shuffled; k grows with n, as large sets share a few by chance. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
+shingles, two sets of similarity 4/5 or more share one of their first n - ceil(4 n / 5) + 1 shingles (n in the set), so
+only those are shuffled. The order puts shingles that are common in a sample last, and the rest by hash, so that similar
 texts meet at shingles that few others have. Sets that meet at a shingle are not all paired with each other. First each
 is compared with its neighbours in three orders (by size, and by either half of the fingerprint), and the nearest ones
 become candidates: that joins nearly all groups with a bounded number of candidates a row. Then every pair that meets
-in the k places and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
-(of 2048 if both sets are large) differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
+there and is not yet in one component passes an exact bound: the parities of how many shingles fall in each of 512 classes
+differ in at most as many places as the sets differ, and sets of similarity 4/5 differ in at most a ninth of both sizes.
+Of large sets, 512 parities say little, so these are cut by the leading bits of the hashes: if two sets differ in at most a ninth
+of both sizes, so they do in one of the pieces at least (else the sums would not). So pieces have prefixes and parities of
+their own, and sets are compared by pieces wherever they are cut into equally many. What a set is cut into depends on its
+size; one that a similar set of the next step may exceed is cut both ways. Pairs share many shingles of their prefixes, so
+each row carries the first of its own, and a pair that shares one of those is a row at the first shared one only.
 Before any text moves, all pairs pass the same bound on parities of as many classes as the sets have shingles, which 512
 say little about when sets are large. Pairs within it are checked by their texts, first one for each two components. So
 no link between components is lost, and no link is wrong.
@@ -41,10 +46,10 @@ SEED = 42
 NEAR = 8  # neighbours that a set is compared with, in each order
 FAR_BITS = 20  # differing bits beyond which sets of SURE shingles or more are not similar (at 0.8 about 10 are expected)
 SURE = 64
-CLASSES = 512  # of shingles, by hash, for the bound on how much two sets differ
-MORE_CLASSES, LARGE = 4, 768  # times as many classes for sets of more shingles than LARGE
+CLASSES = 512  # of shingles, by hash, for the bound on how much two sets or pieces differ
+WHOLE, SPLIT = 512, 4  # sets of up to WHOLE shingles are one piece, of up to SPLIT times as many SPLIT pieces, and so on; SPLIT is a power of two
 PART = 4 << 20  # bytes of texts looked at together
-CHANCE = 50  # shingles of a set for each further one that it has to share in the prefixes
+LEAD = 4  # first shingles of a prefix that are known at each of its shingles
 CELL = 2048  # sets of a shingle that are compared in one group; of more, each pair of parts is a group
 
 
@@ -57,9 +62,25 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
 
 
-def to_share(n):
-    """How many shingles of their prefixes similar sets of n shingles or more share at least."""
-    return 1 + n // CHANCE
+def cuts(n: int) -> list[int]:
+    """Into how many pieces a set of n shingles is cut, in one or two ways; similar sets have one of them in common."""
+
+    def number(m: int) -> int:
+        k = 1
+        while m > WHOLE * k:
+            k *= SPLIT
+        return k
+
+    return sorted({number(n), number(DEN * n // NUM)})
+
+
+def pieces(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The pieces of an ascending set, for each way that it is cut, with their numbers (from k on of k pieces); not empty ones."""
+    for k in cuts(len(x)):
+        ends = [*np.searchsorted(x, (np.arange(1, k, dtype=np.uint64) << np.uint64(65 - k.bit_length()))).tolist(), len(x)]
+        for i, (p, q) in enumerate(zip([0, *ends], ends)):  # noqa: B905  one more start than ends
+            if q > p:
+                yield k + i, x[p:q]
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -101,6 +122,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if held:
             yield flush(held)
+        give_back()
 
     found = bounded_sample(texts, "_d", SAMPLE).select("_x").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = found.filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "h").limit(COMMON).collect()
@@ -110,25 +132,33 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(h: np.ndarray, n: np.ndarray):
     def prefix(x: np.ndarray) -> np.ndarray:
-        take = len(x) - -(-NUM * len(x) // DEN) + to_share(len(x)) if len(x) else 0
+        take = len(x) - -(-NUM * len(x) // DEN) + 1 if len(x) else 0
         if not len(h):
             return x[:take]
         at = np.minimum(np.searchsorted(h, x), len(h) - 1)
         return x[np.argsort(np.where(h[at] == x, n[at], 0), kind="stable")][:take]
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, size, first, f, odd, wide = [], [], [], [], [], []
+        g, size, f, wide, first, of, odd, lead, some, upto = [], [], [], [], [], [], [], [], [], [0]
         for x in b.column(1).to_pylist():
             own = shingles(x)
             g.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             f.append(simhash.majority(own[at : at + simhash.PIECE] for at in range(0, len(own), simhash.PIECE)))
             size.append(len(own))
-            odd.append(parities(own, CLASSES * MORE_CLASSES if len(own) > LARGE else CLASSES))
             wide.append(wide_parities(own))
-            first.append(prefix(own).view(np.int64))
+            for piece, y in pieces(own):
+                k = np.uint64(1 << piece.bit_length() >> 1)  # of how many; pieces of equally many meet
+                first.append((prefix(y) ^ k).view(np.int64))
+                lead.append(np.pad(first[-1][:LEAD], (0, max(0, LEAD - len(first[-1]))), constant_values=np.uint64(g[-1]).view(np.int64)).tobytes())  # g is nobody else's
+                of.append(piece)
+                odd.append(parities(y))
+                some.append(len(y))
+            upto.append(len(of))
+        ends = pa.array(upto, pa.int32())
         off = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
         flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), b.column(1)], names=["_d", "g", "f", "n", "odd", "wide", "first", "_x"])
+        cut = pa.StructArray.from_arrays([pa.array(of, pa.int64()), pa.array(some, pa.int64()), pa.array(odd, pa.binary()), pa.array(lead, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["piece", "m", "odd", "lead", "first"])
+        return pa.record_batch([b.column(0), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, cut), b.column(1)], names=["_d", "g", "f", "n", "wide", "pieces", "_x"])
 
     def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for p, q in slices(np.diff(text_buffer(b.column(1))[1]), PART):
@@ -138,20 +168,20 @@ def _prefixes(h: np.ndarray, n: np.ndarray):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, g, n, f in order of a, n, g: for each row the nearest of its neighbours at shingle a (of small sets all of
-    them), in each of three orders, as u, v; and as u, a, n every row that shares its shingle with another."""
+    """Rows a, g, n, f, piece in order of a, n, g: for each row the nearest of its neighbours at shingle a (of small sets all of
+    them), in each of three orders, as u, v; and as u, a, piece every row that shares its shingle with another."""
     tail: list[np.ndarray] | None = None
 
     def met(cols, first: int, end: int) -> pa.RecordBatch:
-        a, g, n, _ = cols
+        a, g, _, _, piece = cols
         same = np.concatenate([[False], a[1:] == a[:-1], [False]])
         at = first + np.flatnonzero(same[first:end] | same[first + 1 : end + 1])
-        return pa.record_batch([pa.array(g[at]), pa.nulls(len(at), pa.int64()), pa.array(a[at]), pa.array(n[at])], names=["u", "v", "a", "n"])
+        return pa.record_batch([pa.array(g[at]), pa.nulls(len(at), pa.int64()), pa.array(a[at]), pa.array(piece[at])], names=["u", "v", "a", "piece"])
 
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         old = len(tail[0]) if tail else 0
-        a, g, n, f = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
+        a, g, n, f, _ = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
         bits = f.view(np.uint64)
         us, vs = [], []
         for order in (np.arange(len(a)), np.lexsort((bits, a)), np.lexsort((bits << np.uint64(32) | bits >> np.uint64(32), a))):
@@ -176,7 +206,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vs.append(np.minimum(g[own], g[other[own]]))
         u, v = np.concatenate(us), np.concatenate(vs)
         if len(u):
-            yield pa.record_batch([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64())], names=["u", "v", "a", "n"])
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64())], names=["u", "v", "a", "piece"])
         yield met(cols, max(0, old - 1), len(a) - 1)  # the last row's successor is not known yet
         tail = [c[-NEAR:] for c in cols]
     if tail and len(tail[0]):
@@ -185,21 +215,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, cell, n, g, part, whole, root, odd in order of a, cell, n: the pairs of a group (a, cell) with two roots (and,
-    unless whole, of two parts) that the sizes and parities allow to be similar, with how many shingles they have to share."""
+    """Rows a, cell, n, g, part, whole, root, odd, lead in order of a, cell, n (n: shingles of the piece): the pairs of a group
+    (a, cell) with two roots (and, unless whole, of two parts) that the sizes and parities of their pieces allow to be similar.
+    Pairs that share a leading shingle of their prefixes are left to the group of the first such."""
     tail = None
 
-    def batch(us, vs, ks) -> pa.RecordBatch:
-        return pa.record_batch([np.concatenate(us), np.concatenate(vs), np.concatenate(ks)], names=["u", "v", "k"])
+    def words(col: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), -1)
 
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        odds = b.column(7).to_pylist()
-        more = np.frombuffer(b"".join(x.ljust(CLASSES * MORE_CLASSES // 8, b"\0") for x in odds), np.uint64).reshape(-1, CLASSES * MORE_CLASSES // 64)
-        cols += [np.bitwise_xor.reduce(more.reshape(-1, MORE_CLASSES, CLASSES // 64), axis=1), more, np.array([len(x) * 8 > CLASSES for x in odds], bool)]
+        if not b.num_rows:
+            continue
+        cols = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(7)), words(b.column(7)), words(b.column(8))]
         old = len(tail[0]) if tail else 0
-        a, cell, n, g, part, whole, root, odd, more, large = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
-        us, vs, ks, held = [], [], [], 0
+        a, cell, n, g, part, whole, root, odd, lead = cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)] if tail else cols
+        us, vs, held = [], [], 0
         live, s = np.arange(old, len(a)), 1
         while len(live := live[live >= s]):
             x, y = live, live - s
@@ -211,22 +241,19 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
                 near = (NUM + DEN) * np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
                 i, j = i[near], j[near]
-                both = large[i] & large[j]
-                p, q = i[both], j[both]
-                far = (NUM + DEN) * np.bitwise_count(more[p] ^ more[q]).sum(1, dtype=np.int64) > n[p] + n[q]
-                near = np.ones(len(i), bool)
-                near[both] = ~far
-                i, j = i[near], j[near]
+                shared = (lead[i][:, :, None] == lead[j][:, None, :]).any(2)
+                first = np.where(shared.any(1), lead[i, np.argmax(shared, axis=1)], a[i].view(np.uint64))
+                here = first == a[i].view(np.uint64)
+                i, j = i[here], j[here]
                 us.append(np.maximum(g[i], g[j]))
                 vs.append(np.minimum(g[i], g[j]))
-                ks.append(to_share(np.minimum(n[i], n[j])))
                 held += len(i)
             if held > 1 << 18:
-                yield batch(us, vs, ks)
-                us, vs, ks, held = [], [], [], 0
+                yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
+                us, vs, held = [], [], 0
             s += 1
         if held:
-            yield batch(us, vs, ks)
+            yield pa.record_batch([np.concatenate(us), np.concatenate(vs)], names=["u", "v"])
         if len(a):
             start = len(a) - int(np.argmin(((a == a[-1]) & (cell == cell[-1]))[::-1])) if not ((a == a[-1]) & (cell == cell[-1])).all() else 0
             tail = [c[start:] for c in cols]
@@ -234,31 +261,32 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """For each row of _d, _x its set's digest g, fingerprint f, size n, parities of few and of many classes, and prefix."""
-    return staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, odd binary, wide binary, first array<long>, _x string"), "copies")
+    """For each row of _d, _x its set's digest g, fingerprint f, size n, parities of many classes, and pieces with their sizes, parities of few, and prefixes, once more the first of each."""
+    return staged(map_batches(texts, _prefixes(*_common(texts)), "_d long, g long, f long, n long, wide binary, pieces array<struct<piece:long,m:long,odd:binary,lead:binary,first:array<long>>>, _x string"), "copies")
 
 
 def _meetings(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows g, a, n of sets that share a shingle a of their prefixes with another; and near neighbours at one, as u, v, shared."""
-    rows = prints.select("g", "n", "f", "first").dropDuplicates(["g"]).select(F.explode("first").alias("a"), "g", "n", "f")
-    found = staged(rows.repartition("a").sortWithinPartitions("a", "n", "g").mapInArrow(_neighbours, "u long, v long, a long, n long"), "copies-met")
+    """Rows g, a, piece of sets that share a shingle a of their pieces' prefixes with another; and near neighbours at one, as u, v, shared."""
+    sets = prints.select("g", "n", "f", F.expr("transform(pieces, x -> struct(x.piece, x.first))").alias("own")).dropDuplicates(["g"])
+    rows = sets.select("g", "n", "f", F.inline("own")).select(F.explode("first").alias("a"), "g", "n", "f", "piece")
+    found = staged(rows.repartition("a").sortWithinPartitions("a", "n", "g").mapInArrow(_neighbours, "u long, v long, a long, piece long"), "copies-met")
     near = found.filter("v is not null").groupBy("u", "v").agg(F.count("*").alias("shared"))
-    return found.filter("v is null").select(F.col("u").alias("g"), "a", "n"), staged(near, "copies-candidates")
+    return found.filter("v is null").select(F.col("u").alias("g"), "a", "piece"), staged(near, "copies-candidates")
 
 
 def _still_apart(met: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs of sets that meet at enough shingles of their prefixes, are in different components and may be similar."""
-    of = prints.select("g", "odd").dropDuplicates(["g"]).join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    rooted = met.join(of.select("g", "root"), "g").repartition("a")
+    """Distinct pairs of sets that meet at a shingle of a piece's prefixes, are in different components and may be similar."""
+    of = prints.select("g").distinct().join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    cut = prints.select("g", F.expr("transform(pieces, x -> struct(x.piece, x.m, x.odd, x.lead))").alias("own")).dropDuplicates(["g"]).select("g", F.inline("own"))
+    rooted = met.join(of, "g").repartition("a")
     mixed = rooted.groupBy("a").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).filter("r <> s")
     parts = mixed.select("a", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
     rows = rooted.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
-    rows = rows.select("a", cell.alias("cell"), "n", "g", "part", "root", "parts")
-    whole = F.col("cell") % (F.col("parts") + 1) == 0  # both parts are one: cell is part * (parts + 1)
-    rows = rows.withColumn("whole", whole).join(of.select("g", "odd"), "g").select("a", "cell", "n", "g", "part", "whole", "root", "odd")
-    return rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "n").mapInArrow(_apart, "u long, v long, k long").groupBy("u", "v").agg(F.count("*").alias("met"), F.min("k").alias("k")).filter("met >= k").select("u", "v")
+    whole = cell % (F.col("parts") + 1) == 0  # both parts are one: cell is part * (parts + 1)
+    rows = rows.withColumn("cell", cell).withColumn("whole", whole).join(cut, ["g", "piece"]).select("a", "cell", F.col("m").alias("n"), "g", "part", "whole", "root", "odd", "lead")
+    return rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "n").mapInArrow(_apart, "u long, v long").distinct()
 
 
 def _possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import give_back, slices, staged
 
 CAPACITY = 4096
 SMALL = 64
@@ -180,6 +180,7 @@ def _pieces(path: str, with_ids: bool):
                 else:
                     columns.append(pa.nulls(len(rows), pa.list_(pa.int32())))
                 yield pa.record_batch(columns, names=[c.split()[0] for c in PIECES.split(", ")])
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import give_back, map_batches, staged
 from .components import components
 
 BITS = 3
@@ -157,6 +157,7 @@ def _comparer(size: int):
             if out:
                 kind, u, v, c, r = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(c, pa.int32()), pa.array(r, pa.int32())], names=["kind", "u", "v", "chunk", "role"])
+        give_back()
 
     return compare
 

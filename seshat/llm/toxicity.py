@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_batches
+from .common import bounded_sample, give_back, held_out, map_batches
 
 SAMPLE = 20_000
 PREFIXES = range(4, 9)
@@ -260,6 +260,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = {}
     if found:
         yield flush(found)
+    give_back()
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Scorer:

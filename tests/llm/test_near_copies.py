@@ -96,6 +96,45 @@ def test_large_sets_that_share_little_are_no_pairs(spark):
     assert {(x.u, x.v) for x in m._possible(pairs, prints).collect()} == one
 
 
+def test_large_sets_make_no_rows_for_each_shingle_that_two_share(spark, monkeypatch):
+    """Sets of 6,000 shingles, of which every two share 96 that no third has: nothing is left of them before rows are counted."""
+    r, n, made = random.Random(6), 12, spark.sparkContext.accumulator(0)
+    rows = [(i, " ".join(" ".join(f"p{min(i, j)}_{max(i, j)}_{k}" for k in range(100)) for j in range(n) if j != i) + " " + " ".join(f"w{i}_{k}" for k in range(4900))) for i in range(n)]
+    x = rows[3][1].split()
+    for _ in range(60):
+        x[r.randrange(1100, 6000)] = f"other{r.randrange(900)}"
+    rows.append((n, " ".join(x)))
+    apart = m._apart
+
+    def counted(batches):
+        for b in apart(batches):
+            made.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(m, "_apart", counted)
+    prints = m._prints(spark.createDataFrame(rows, "_d long, _x string").repartition(3))
+    met, _ = m._meetings(prints)
+    got = {(x.u, x.v) for x in m._still_apart(met, prints, spark.createDataFrame([], "node long, root long")).collect()}
+    g = {x._d: x.g for x in prints.collect()}
+    assert got == {(max(g[3], g[n]), min(g[3], g[n]))}
+    assert 0 < made.value <= 16  # the one similar pair, once for each piece
+
+
+def test_similar_sets_have_a_similar_piece():
+    r, ways = np.random.default_rng(9), set()
+    for n in (1, 5, 60, 400, 409, 410, 500, 512, 513, 600, 1640, 2040, 2060, 2500, 6000, 8190, 8200):
+        for _ in range(20):
+            x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            share = int(np.ceil(len(x) * r.uniform(0.8, 1)))
+            y = np.unique(np.concatenate([r.permutation(x)[:share], r.integers(0, 1 << 63, int(max(0, share / 0.8 - len(x)) * r.uniform(0, 1))).astype(np.uint64) * np.uint64(2)]))
+            assert m.similar(x, y)
+            p, q = dict(m.pieces(x)), dict(m.pieces(y))
+            assert np.array_equal(np.unique(np.concatenate(list(p.values()))), x)
+            assert any(m.similar(p[k], q[k]) for k in p.keys() & q.keys())
+            ways.add((len(m.cuts(len(x))), len(m.cuts(len(y)))))
+    assert {(1, 1), (1, 2), (2, 1)} <= ways
+
+
 def test_wide_parities_differ_in_no_more_classes_than_the_sets():
     r = np.random.default_rng(4)
     for n in (0, 1, 300, 512, 513, 1000, 1030, 5000):

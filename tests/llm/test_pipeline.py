@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seshat.llm import decontam, suffix_dedup, toxicity
+from seshat.llm.common import BATCH, BATCH_BYTES
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.01"
@@ -55,3 +57,23 @@ def test_odd_documents(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    """Each worker and its executor hold several copies of a batch, so 10,000 long texts are not one."""
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 1500) text", "'en' lang", "'x' source", "0L n_chars").coalesce(1)
+    spark.conf.unset(BATCH)
+    try:
+        dict(pipeline.STAGES)["decontamination"](spark, docs, SF)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.record_batch([[b.nbytes]], names=["n"])
+
+        got = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 4 and max(got) < 1.25 * BATCH_BYTES
+        spark.conf.set(BATCH, "12345")
+        dict(pipeline.STAGES)["packing"](spark, docs.limit(1), SF)
+        assert spark.conf.get(BATCH) == "12345"
+    finally:
+        spark.conf.unset(BATCH)
